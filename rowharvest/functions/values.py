@@ -27,6 +27,11 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that it uses several times, so that the value is written and computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse_space(text: Column) -> Column:
     """Drop zero-width characters, collapse whitespace runs, trim. No Unicode step."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, ZERO_WIDTH, ""), WHITESPACE + "+", " "))
@@ -75,15 +80,17 @@ DATE_FORMATS = (
 )
 
 
-def parse_timestamp(text: Column) -> Column:
-    """Timestamp for any of ``DATE_FORMATS``, else null. Text without digits is not tried."""
+def _try_formats(text: Column) -> Column:
     dated = F.regexp_replace(text, r"^[A-Za-z]{3}, ", "")
-    month = F.regexp_extract(dated, r"([A-Za-z]{3,})", 1)
-    spelled = F.when(dated.rlike(r"^[A-Za-z]{3,} |^\d{1,2} [A-Za-z]"),
-                     F.concat(F.regexp_extract(dated, r"^([^A-Za-z]*)", 1), F.initcap(F.lower(month)),
-                              F.regexp_extract(dated, r"^[^A-Za-z]*[A-Za-z]{3,}(.*)$", 1))).otherwise(dated)
-    tried = F.coalesce(*[F.try_to_timestamp(spelled, F.lit(f)) for f in DATE_FORMATS])
-    return F.when(text.rlike(r"^[A-Za-z\d][A-Za-z\d ,:./+-]{3,39}$") & text.rlike(r"\d"), tried)
+    # Month names in any case: capitalise the first word of letters.
+    spelled = let(F.regexp_extract(dated, r"^([^A-Za-z]*)([A-Za-z]{3,})(?= )", 2), lambda month: F.when(
+        month == "", dated).otherwise(F.regexp_replace(dated, month, F.initcap(F.lower(month)))))
+    return let(spelled, lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS]))
+
+
+def parse_timestamp(text: Column) -> Column:
+    """Timestamp for any of ``DATE_FORMATS``, else null. Only text that looks like a date is tried."""
+    return F.when(text.rlike(r"^[A-Za-z\d][A-Za-z\d ,:./+-]{3,39}$") & text.rlike(r"\d"), _try_formats(text))
 
 
 def iso_utc(ts: Column) -> Column:
@@ -128,36 +135,42 @@ def _resolve_dots(path: Column) -> Column:
 
     parts = F.split(F.regexp_replace(path, r"^/", ""), "/")
     kept = F.aggregate(parts, F.array().cast("array<string>"), step)
-    tail = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
-    rebuilt = F.concat(F.lit("/"), F.array_join(kept, "/"), tail)
+    rebuilt = let(kept, lambda k: F.concat(
+        F.lit("/"), F.array_join(k, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(k) > 0), "/").otherwise("")))
     return F.when(path.rlike(r"/\.\.?(/|$)"), rebuilt).otherwise(path)
 
 
 def _canonical_url(url: Column) -> Column:
-    origin = F.lower(F.regexp_extract(url, _SPLIT, 1))
-    origin = F.regexp_replace(F.regexp_replace(origin, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
-    path = F.regexp_extract(url, _SPLIT, 2)
-    path = F.when((path == "") & origin.rlike("^(https?|ftp|wss?):"), F.lit("/")).otherwise(_resolve_dots(path))
-    whole = F.concat(origin, _percent_encode(path), _percent_encode(F.regexp_extract(url, _SPLIT, 3)))
-    return F.when(url.rlike(_ORIGIN), whole).otherwise(url)
+    """Lower-case origin without default port, no dot segments, percent-encoded path and query."""
+    def whole(p: Column) -> Column:
+        origin = F.regexp_replace(F.regexp_replace(p["origin"], r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+        path = F.when(p["path"] == "", F.when(p["origin"].rlike("^(https?|ftp|wss?):"), "/").otherwise("")).otherwise(
+            _percent_encode(_resolve_dots(p["path"])))
+        return F.concat(origin, path, _percent_encode(p["rest"]))
+
+    parts = F.struct(F.lower(F.regexp_extract(url, _SPLIT, 1)).alias("origin"),
+                     F.regexp_extract(url, _SPLIT, 2).alias("path"), F.regexp_extract(url, _SPLIT, 3).alias("rest"))
+    return F.when(url.rlike(_ORIGIN), let(parts, whole)).otherwise(url)
+
+
+def _join_url(ref: Column, base: Column) -> Column:
+    def joined(b: Column) -> Column:
+        folder = F.regexp_replace(b["path"], r"[^/]*$", "")
+        return (
+            F.when(b["origin"] == "", None)
+            .when(ref.startswith("//"), F.concat(F.regexp_extract(b["origin"], r"^([^:]*:)", 1), ref))
+            .when(ref.startswith("/"), F.concat(b["origin"], ref))
+            .when(ref.startswith("?"), F.concat(b["origin"], F.when(b["path"] == "", "/").otherwise(b["path"]), ref))
+            .when(ref.startswith("#") | (ref == ""), F.concat(F.regexp_replace(base, r"#.*$", ""), ref))
+            .otherwise(F.concat(b["origin"], F.when(folder == "", "/").otherwise(folder), ref)))
+
+    parts = F.struct(F.regexp_extract(base, _ORIGIN, 1).alias("origin"), F.regexp_extract(base, _SPLIT, 2).alias("path"))
+    return F.when(ref.rlike(_SCHEME), ref).when(base.isNotNull(), let(parts, joined))
 
 
 def resolve_url(ref: Column, base: Column) -> Column:
     """Absolute URL of ``ref`` seen from ``base``; ``ref`` itself when that is impossible."""
-    ref = F.trim(ref)
-    origin = F.regexp_extract(base, _ORIGIN, 1)
-    path = F.regexp_extract(base, _SPLIT, 2)
-    folder = F.regexp_replace(path, r"[^/]*$", "")
-    joined = (
-        F.when(ref.rlike(_SCHEME), ref)
-        .when(base.isNull() | (origin == ""), None)
-        .when(ref.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:]*:)", 1), ref))
-        .when(ref.startswith("/"), F.concat(origin, ref))
-        .when(ref.startswith("?"), F.concat(origin, F.when(path == "", F.lit("/")).otherwise(path), ref))
-        .when(ref.startswith("#") | (ref == ""), F.concat(F.regexp_replace(base, r"#.*$", ""), ref))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), ref))
-    )
-    return F.coalesce(_canonical_url(joined), ref)
+    return let(F.trim(ref), lambda r: F.coalesce(let(_join_url(r, base), _canonical_url), r))
 
 
 # -- serialisation and fingerprints -------------------------------------------
@@ -258,12 +271,13 @@ def title_case(text: Column) -> Column:
 
 def typed_value(text: Column, type_: Column, base: Column) -> Column:
     """VALUE struct of one whitespace-normalised text under a field type held in a column."""
-    numeric = type_.isin("number", "price")
-    as_text = (F.when(type_.isin("url", "image"), resolve_url(text, base))
-               .when(type_ == "date", parse_date(text)).otherwise(text))
-    empty = text.isNull() | (text == "")
-    return F.struct(
-        F.when(~empty & ~numeric, as_text).alias("str"),
-        F.when(~empty & numeric, parse_number(text)).alias("num"),
-        F.lit(None).cast("array<string>").alias("arr"),
-    )
+    def typed(t: Column) -> Column:
+        numeric = type_.isin("number", "price")
+        as_text = F.when(type_.isin("url", "image"), resolve_url(t, base)).when(
+            type_ == "date", parse_date(t)).otherwise(t)
+        return F.struct(
+            F.when((t != "") & ~numeric, as_text).alias("str"),
+            F.when((t != "") & numeric, parse_number(t)).alias("num"),
+            F.lit(None).cast("array<string>").alias("arr"))
+
+    return let(text, typed)

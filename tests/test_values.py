@@ -5,6 +5,7 @@ from rowharvest.functions import values as V
 
 
 def one(spark, expr, **cols):
+    """The expression's value."""
     names = list(cols)
     df = spark.createDataFrame([tuple(cols.values())], ", ".join(f"{n} string" for n in names))
     return df.select(expr.alias("v")).first()["v"]
