@@ -10,7 +10,10 @@ BROADCAST_ROWS = 100_000
 HOT_ROWS = 1_000_000
 HOT_KEYS = 256
 SALTS = 64
-RANK_BUCKETS = 256
+#: Rows one ranking task may sort.
+RANGE_ROWS = 2_000_000
+COARSE = 64
+MAX_FINE = 4096
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
@@ -49,32 +52,50 @@ def _hashable(df: DataFrame, name: str) -> bool:
     return "map<" not in df.schema[name].dataType.simpleString()
 
 
-def rank_buckets(df: DataFrame, order: str, buckets: int = RANK_BUCKETS) -> Column:
-    """Bucket number of the order value among equal-share ranges of the whole table.
+def _as_number(df: DataFrame, order: str) -> Column:
+    is_time = df.schema[order].dataType.typeName().startswith("timestamp")
+    return F.unix_micros(order) if is_time else F.col(order)
 
-    The borders come from one mergeable percentile sketch and only decide how rows are
-    spread; any borders give exact ranks.
-    """
-    shares = [i / buckets for i in range(1, buckets)]
-    borders = df.agg(F.percentile_approx(order, shares, 1000).alias("b")).scalar()
-    return F.coalesce(F.size(F.filter(borders, lambda b: b < F.col(order))), F.lit(0))
 
+def rank_ranges(df: DataFrame, order: str, range_rows: int) -> Column | None:
+    """Range number of the order value, such that no range should hold many more than
+    ``range_rows`` rows; None when the whole table is that small.
 
-def ordered_index(df: DataFrame, keys: list[str], order: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+    One aggregation sketches 63 equal-share borders; large tables are cut evenly between
+    those. The borders only decide how rows are spread: any borders give exact ranks.
+    """
+    value = _as_number(df, order)
+    shares = [i / COARSE for i in range(1, COARSE)]
+    low, high, n, borders = df.agg(F.min(value), F.max(value), F.count("*"), F.percentile_approx(value, shares, 1000)).first()
+    if n <= range_rows:
+        return None
+    fine = int(max(1, min(MAX_FINE, n // (COARSE * range_rows))))
+    lows = F.array(*[F.lit(b) for b in [low, *borders]])
+    highs = F.array(*[F.lit(b) for b in [*borders, high]])
+    coarse = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b < value))
+    if fine == 1:
+        return coarse
+    span = F.greatest(F.get(highs, coarse) - F.get(lows, coarse), F.lit(1))
+    part = F.least(F.floor((value - F.get(lows, coarse)) * F.lit(fine) / span), F.lit(fine - 1))
+    return coarse * fine + F.greatest(part, F.lit(0))
+
+
+def ordered_index(df: DataFrame, keys: list[str], order: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Adds ``idx``, the zero-based rank of each row within ``keys`` by the unique column ``order``.
 
-    A plain ranking window would sort all rows of a key in one task. Here the rows are cut
+    A plain ranking window would sort all rows of a key in one task. Large tables are cut
     into ranges of the order column first: each range is ranked by itself and shifted by
     the number of rows in the ranges before it. ``order`` must be numeric or a timestamp.
     """
-    placed = df.withColumn("_bucket", rank_buckets(df, order, buckets))
-    counts = placed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    if not keys:
-        counts = counts.withColumn("_all", F.lit(0))
-        earlier = Window.partitionBy("_all").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(
-        *keys, "_bucket", "_shift")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
-    return placed.join(shifts, [*keys, "_bucket"]).withColumn(
-        "idx", (F.row_number().over(inside) - 1 + F.col("_shift")).cast("long")).drop("_bucket", "_shift")
+    ranges = rank_ranges(df, order, range_rows)
+    if ranges is None:
+        by = keys or [F.lit(0)]
+        return df.withColumn("idx", (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long"))
+    placed = df.withColumn("_range", ranges)
+    counts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    by = keys or [F.lit(0)]
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(*keys, "_range", "_shift")
+    inside = Window.partitionBy(*keys, "_range").orderBy(order)
+    return placed.join(shifts, [*keys, "_range"]).withColumn(
+        "idx", (F.row_number().over(inside) - 1 + F.col("_shift")).cast("long")).drop("_range", "_shift")
