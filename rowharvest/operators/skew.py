@@ -54,7 +54,7 @@ def _hashable(df: DataFrame, name: str) -> bool:
 
 def _as_number(df: DataFrame, order: str) -> Column:
     is_time = df.schema[order].dataType.typeName().startswith("timestamp")
-    return F.unix_micros(order) if is_time else F.col(order)
+    return F.unix_micros(F.col(order).cast("timestamp")) if is_time else F.col(order)
 
 
 def rank_ranges(df: DataFrame, order: str, range_rows: int) -> Column | None:
