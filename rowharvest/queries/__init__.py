@@ -32,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from rowharvest.queries import page_tables, record_tables, value_tables  # noqa: F401
+    from rowharvest.queries import derived, page_tables, plan_tables, record_tables, streams, value_tables  # noqa: F401

@@ -41,9 +41,9 @@ IMPLIED_END = {
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
-    "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
+    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
 SPACE = "\t\n\x0b\x0c\r \xa0"
 
@@ -145,7 +145,6 @@ class _Reader(HTMLParser):
                     break
                 if self.stack[at].tag in closes:
                     del self.stack[at:]
-                    break
         if tag == "tr" and self.stack[-1].tag == "table":
             self._push("tbody", {})
         elif tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
