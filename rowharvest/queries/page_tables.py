@@ -36,7 +36,7 @@ def pages(spark, sf_dir):
 
 
 def nodes_of(spark, sf_dir):
-    return page_nodes(P.spread(pages(spark, sf_dir)))
+    return page_nodes(pages(spark, sf_dir))
 
 
 def written_nodes(spark, sf_dir):
@@ -68,7 +68,7 @@ def page_title(spark, sf_dir):
 def page_links(spark, sf_dir):
     """Menu links of fetchable pages, resolved: the shortest way from pages to rows."""
     kept = P.filter_fetchable(pages(spark, sf_dir))
-    nodes = page_nodes(P.spread(kept))
+    nodes = page_nodes(kept)
     from rowharvest.functions.values import resolve_url
     from rowharvest.sources.nodes import own_text
 
@@ -97,7 +97,7 @@ def visible_elements(spark, sf_dir):
 @query("""SELECT page_id, len(regexp_extract_all(html, '<iframe[ >]')) AS inaccessible_frames,
   CAST(regexp_matches(html, '<canvas[ >]') AS INT) AS n_limitations FROM pages""")
 def page_limitations(spark, sf_dir):
-    p = P.spread(pages(spark, sf_dir))
+    p = pages(spark, sf_dir)
     return P.page_limitations(p, page_nodes(p)).select(
         "page_id", "inaccessible_frames", F.size("limitations").alias("n_limitations"))
 
@@ -250,7 +250,7 @@ def framed_pages(spark, sf_dir):
         F.concat(F.regexp_extract("target", r"^([a-z]+://[^/?#]*)", 1), F.lit("/frame/"), F.col("page_id").cast("string")).alias("url"),
         F.concat(F.lit('<h1>Frame</h1><iframe src="'), F.replace("target", F.lit("&"), F.lit("&amp;")), F.lit('"></iframe>')).alias("html"))
     both = inner.unionByName(hosts)
-    nodes = materialize(page_nodes(P.spread(both)), "nodes")
+    nodes = materialize(page_nodes(both), "nodes")
     from rowharvest.sources.frames import frame_links
 
     stitched = stitch_frames(nodes, both, depth=1).where("page_id >= 1000000000")
@@ -265,6 +265,6 @@ def shadow_pages(spark, sf_dir):
     menu = F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1)
     shadowed = pages(spark, sf_dir).select("page_id", "url", F.concat(
         F.lit("<main><site-menu><template shadowrootmode=open>"), menu, F.lit("</template></site-menu></main>")).alias("html"))
-    nodes = page_nodes(P.spread(shadowed))
+    nodes = page_nodes(shadowed)
     return nodes.where("tree = 1 and tag = 'li'").groupBy("page_id").agg(
         F.lit("li||").alias("prefix"), F.count("*").alias("n_li"))

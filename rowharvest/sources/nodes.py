@@ -382,7 +382,19 @@ def page_nodes(pages: DataFrame) -> DataFrame:
         if rows:
             yield _to_batch(rows, arrow)
 
-    return pages.select("page_id", "url", "html").mapInArrow(parse, schema)
+    return spread(pages.select("page_id", "url", "html")).mapInArrow(parse, schema)
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """Give every core a share when the input has fewer partitions than cores.
+
+    Page rows are few and heavy, and a small table often is one file. Large inputs have
+    more splits than cores and are left as they are, without a shuffle.
+    """
+    if pages.isStreaming:
+        return pages
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores * 2)
 
 
 def _to_batch(rows, arrow: pa.Schema) -> pa.RecordBatch:

@@ -20,18 +20,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("host", V.host_of(F.col("url")))
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Give every core a share when the input has fewer partitions than cores.
-
-    Page rows are few and heavy, and a small table often is one file. Large inputs have
-    more splits than cores and are left as they are, without a shuffle.
-    """
-    if pages.isStreaming:
-        return pages
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores * 2)
-
-
 def is_restricted_url(url: Column) -> Column:
     return url.rlike(RESTRICTED_URL)
 
