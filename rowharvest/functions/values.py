@@ -15,6 +15,8 @@ from pyspark.sql.types import StringType
 
 # Characters a script engine's \s matches (the BOM is removed before).
 WHITESPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+ODD_SPACE = WHITESPACE.replace("\\r ", "\\r")
+ZERO_WIDTH_MARKS = ("\u200b", "\u200c", "\u200d", "\ufeff")
 ZERO_WIDTH = r"[\u200b-\u200d\ufeff]"
 #: Anything outside this set may change under NFKC; everything inside is stable
 #: (or, for the no-break space, is whitespace either way).
@@ -34,7 +36,14 @@ def let(value: Column, body) -> Column:
 
 def collapse_space(text: Column) -> Column:
     """Drop zero-width characters, collapse whitespace runs, trim. No Unicode step."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, ZERO_WIDTH, ""), WHITESPACE + "+", " "))
+    def without_marks(t: Column) -> Column:
+        marked = F.contains(t, F.lit(ZERO_WIDTH_MARKS[0]))
+        for mark in ZERO_WIDTH_MARKS[1:]:
+            marked = marked | F.contains(t, F.lit(mark))
+        return F.when(marked, F.regexp_replace(t, ZERO_WIDTH, "")).otherwise(t)
+
+    # Single plain spaces, by far the most common, stay untouched.
+    return F.trim(F.regexp_replace(let(text, without_marks), f"{WHITESPACE}{{2,}}|{ODD_SPACE}", " "))
 
 
 def nfkc(text: Column) -> Column:
@@ -58,39 +67,60 @@ def parse_number(text: Column, grouping: str = "guess") -> Column:
     longest numeric prefix counts, so ``1,234`` is 1.234. ``grouping='us'`` reads
     commas as thousands marks instead.
     """
-    kept = F.regexp_replace(text, r"[^\d,.-]", "")
-    point = F.regexp_replace(kept, ",", "")
-    if grouping == "us":
-        canonical = point
-    else:
-        comma = F.regexp_replace(F.regexp_replace(kept, r"\.", ""), r"^([^,]*),", "$1.")
-        canonical = F.when(kept.rlike(r",[^.]*$"), comma).otherwise(point)
-    prefix = F.regexp_extract(canonical, r"^([+-]?(?:\d+\.?\d*|\.\d+))", 1)
-    value = text_or_null(prefix).try_cast("double")
-    return F.when(F.abs(value) <= F.lit(1.7976931348623157e308), value)
-
-
-# Accepted date spellings, tried in this order after month names are
-# capitalised. Everything without a zone is read in the session zone (UTC).
-DATE_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "yyyy-MM-dd'T'HH:mm[XXX]",
-    "yyyy-MM-dd HH:mm:ss[.SSS]", "yyyy-MM-dd", "yyyy-MM", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy",
-    "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy",
-    "d MMM yyyy HH:mm:ss z",
+    def canonical(kept: Column) -> Column:
+        point = F.replace(kept, F.lit(","), F.lit(""))
+        if grouping == "us":
+            return point
+        comma = F.regexp_replace(F.replace(kept, F.lit("."), F.lit("")), r"^([^,]*),", "$1.")
+        return F.when(kept.rlike(r",[^.]*$"), comma).otherwise(point)
+
+    number = let(F.regexp_replace(text, r"[^\d,.-]", ""), canonical)
+    # Up to 300 digits make a finite double; anything longer is no number.
+    return F.regexp_extract(number, r"^([+-]?(?:\d{1,300}(?!\d)\.?\d*|\.\d+))", 1).try_cast("double")
+
+
+# Accepted date spellings as (shape, format). Month names may be in any
+# case; everything without a zone is read in the session zone (UTC).
+DATE_SHAPES = (
+    (r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd"),
+    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{3})?(Z|[+-]\d\d:\d\d)$", "yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX"),
+    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{3})?$", "yyyy-MM-dd'T'HH:mm:ss[.SSS]"),
+    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d(Z|[+-]\d\d:\d\d)?$", "yyyy-MM-dd'T'HH:mm[XXX]"),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(\.\d{3})?$", "yyyy-MM-dd HH:mm:ss[.SSS]"),
+    (r"^\d{4}-\d\d$", "yyyy-MM"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", "MMM d[,] yyyy"),
+    (r"^[A-Za-z]{4,} \d{1,2},? \d{4}$", "MMMM d[,] yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d:\d\d [A-Za-z]+$", "d MMM yyyy HH:mm:ss z"),
 )
 
 
-def _try_formats(text: Column) -> Column:
+def _read_shape(text: Column) -> Column:
+    """The one format whose shape fits is tried: failing parses are far dearer than a look at the shape."""
     dated = F.regexp_replace(text, r"^[A-Za-z]{3}, ", "")
-    # Month names in any case: capitalise the first word of letters.
     spelled = let(F.regexp_extract(dated, r"^([^A-Za-z]*)([A-Za-z]{3,})(?= )", 2), lambda month: F.when(
         month == "", dated).otherwise(F.regexp_replace(dated, month, F.initcap(F.lower(month)))))
-    return let(spelled, lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS]))
+
+    def tried(t: Column) -> Column:
+        shape, fmt = DATE_SHAPES[0]
+        out = F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)))
+        for shape, fmt in DATE_SHAPES[1:]:
+            parsed = F.try_to_timestamp(t, F.lit(fmt))
+            if "MMMM" in fmt:  # "May" is its own short form
+                parsed = F.coalesce(parsed, F.try_to_timestamp(t, F.lit(fmt.replace("MMMM", "MMM"))))
+            out = out.when(t.rlike(shape), parsed)
+        return out
+
+    return let(spelled, tried)
 
 
 def parse_timestamp(text: Column) -> Column:
-    """Timestamp for any of ``DATE_FORMATS``, else null. Only text that looks like a date is tried."""
-    return F.when(text.rlike(r"^[A-Za-z\d][A-Za-z\d ,:./+-]{3,39}$") & text.rlike(r"\d"), _try_formats(text))
+    """Timestamp for any of ``DATE_SHAPES``, else null. Only text that looks like a date is tried."""
+    return F.when(text.rlike(r"^[A-Za-z\d][A-Za-z\d ,:./+-]{3,39}$") & text.rlike(r"\d"), _read_shape(text))
 
 
 def iso_utc(ts: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rowharvest.session import configure
+from rowharvest.sources.nodes import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,5 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows need much computation: given to all cores if it has too few splits for them."""
+    return spread(table(spark, sf_dir, name))
+
+
 def load() -> None:
     from rowharvest.queries import derived, page_tables, plan_tables, record_tables, streams, value_tables  # noqa: F401

@@ -10,7 +10,7 @@ from rowharvest.operators.extract import from_wide
 from rowharvest.operators.profile import profile_fields
 from rowharvest.plans import validate
 from rowharvest.plans.apply import Plan, PlanField, apply_plan, apply_plans, attach_plans, choose_plan, plan_keys
-from rowharvest.queries import query, table
+from rowharvest.queries import heavy_table, query, table
 from rowharvest.queries.value_tables import COLLAPSED
 
 CUSTOMER = [Field("c_name", "Name"), Field("c_mktsegment", "Segment"), Field("c_acctbal", "Balance", "number"),
@@ -48,7 +48,7 @@ def planned_documents(spark, sf_dir):
     plan = Plan((PlanField("joined", "text", ("text", "source", "lang"), "concat"),
                  PlanField("mail", "email", ("text", "source"), "regex", r"([A-Z0-9._%+-]+@[A-Z0-9.-]+)"),
                  PlanField("whole", "text", ("text",))), ("Whole",))
-    out, made = apply_plan(table(spark, sf_dir, "documents"), plan, fields, ["doc_id"], "doc_id", nfkc=True)
+    out, made = apply_plan(heavy_table(spark, sf_dir, "documents"), plan, fields, ["doc_id"], "doc_id", nfkc=True)
     return out.select("doc_id", *[F.col(f.id).alias(f.name) for f in made])
 
 
@@ -111,7 +111,7 @@ def checked_plans(spark, sf_dir):
                          member("reason", '""'), member("confidence", "0.5"))
     body = F.concat(F.lit('{"recordType":"Parts","summary":"","droppedSources":["p_type"],"deduplicateBy":["NAME"],"fields":[{'), first,
                     F.lit("},{"), second, F.lit("}]}"))
-    plans = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("plan_id"), F.col("p_brand").alias("session_id"), body.alias("plan_json"))
+    plans = heavy_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("plan_id"), F.col("p_brand").alias("session_id"), body.alias("plan_json"))
     profiles = plans.select("session_id").distinct().select("session_id", F.explode(F.array(
         *[F.lit(c) for c in ("p_name", "p_brand", "p_type")])).alias("id"))
     out = validate.validate_plans(plans, profiles, ["session_id"])
@@ -127,7 +127,7 @@ def checked_patterns(spark, sf_dir):
     shapes = F.array(*[F.concat(F.lit(s.split("{}")[0].replace("{{", "{").replace("}}", "}")), name,
                                 F.lit(s.split("{}")[1].replace("{{", "{").replace("}}", "}"))) for s in _SHAPES])
     pattern = F.concat(F.get(shapes, F.col("p_partkey") % 10), F.when(F.col("p_size") % 2 == 0, "").otherwise(r"\9"))
-    return table(spark, sf_dir, "part").select("p_partkey", validate.safe_pattern(pattern).alias("safe"))
+    return heavy_table(spark, sf_dir, "part").select("p_partkey", validate.safe_pattern(pattern).alias("safe"))
 
 
 _SAMPLES = """SELECT c_nationkey, list(regexp_extract(c_name, '\\d+')) AS digits FROM (SELECT * FROM customer

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rowharvest.fields import Field
 from rowharvest.functions import values as V
 from rowharvest.operators import infer
-from rowharvest.queries import query, table
+from rowharvest.queries import heavy_table, query, table
 from rowharvest.sinks import export
 
 SPACES = r"[\t-\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -24,7 +24,7 @@ def re2(pattern: str) -> str:
 
 @query(f"SELECT doc_id, length({TEXT}) AS n_chars, md5({TEXT}) AS digest FROM documents")
 def normalized_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", V.normalize_whitespace(F.col("text")).alias("t")).select(
+    return heavy_table(spark, sf_dir, "documents").select("doc_id", V.normalize_whitespace(F.col("text")).alias("t")).select(
         "doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 
@@ -37,7 +37,7 @@ _EU = "replace(replace(replace(format('{:,.2f}', o_totalprice), ',', '#'), '.',
 def parsed_numbers(spark, sf_dir):
     us = F.format_number("o_totalprice", 2)
     eu = F.concat(F.lit("€ "), F.translate(us, ",.", ".,"))
-    return table(spark, sf_dir, "orders").select(
+    return heavy_table(spark, sf_dir, "orders").select(
         "o_orderkey", eu.alias("eu_text"), V.parse_number(eu).alias("eu"), V.parse_number(F.concat(F.lit("USD"), us)).alias("us"),
         V.parse_number(F.regexp_replace(F.format_number("o_totalprice", 0), "^(\\d+),(\\d+).*$", "$1,$2")).alias("grouped"),
         V.parse_number(F.concat(F.lit("No "), F.col("o_orderkey").cast("string"), F.lit(" of all"))).alias("ident"))
@@ -51,7 +51,7 @@ def parsed_dates(spark, sf_dir):
             .when(k == 2, F.date_format(d, "d MMM yyyy")).when(k == 3, F.date_format(d, "M/d/yyyy"))
             .when(k == 4, F.upper(F.date_format(d, "MMM d yyyy"))).when(k == 5, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
             .otherwise(F.concat(F.lit("around "), F.date_format(d, "yyyy"))))
-    return table(spark, sf_dir, "orders").select("o_orderkey", V.parse_date(text).alias("iso"))
+    return heavy_table(spark, sf_dir, "orders").select("o_orderkey", V.parse_date(text).alias("iso"))
 
 
 _ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
@@ -98,7 +98,7 @@ _PATTERNS = {n: p for n, _, p, _, _ in infer.SEMANTIC_FIELDS}
     f"SELECT lang, '{n}' AS name, count(*) AS n_texts, count(*) FILTER (WHERE regexp_matches(text, '{re2(p)}', 'i')) AS matches "
     "FROM documents GROUP BY lang" for n, p in _PATTERNS.items()))
 def semantic_matches(spark, sf_dir):
-    return infer.semantic_counts(table(spark, sf_dir, "documents"), ["lang"]).select("lang", "name", "n_texts", "matches")
+    return infer.semantic_counts(heavy_table(spark, sf_dir, "documents"), ["lang"]).select("lang", "name", "n_texts", "matches")
 
 
 @query(f"""SELECT doc_id, array_to_string(regexp_extract_all(text, '{re2(_PATTERNS["Email"])}', 1, 'i'), '|') AS emails,
@@ -106,7 +106,7 @@ def semantic_matches(spark, sf_dir):
   regexp_extract(text, '([\\w]+)\\s+of', 1, 'i') AS first_of FROM documents""")
 def found_contacts(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return heavy_table(spark, sf_dir, "documents").select(
         "doc_id", F.array_join(V.pattern_all(text, _PATTERNS["Email"], "iu"), "|").alias("emails"),
         F.array_join(V.pattern_all(text, _PATTERNS["Phone"], "iu"), "|").alias("phones"),
         V.pattern_first(text, r"([\w]+)\s+of", "i").alias("first_of"))
@@ -140,7 +140,7 @@ _PHRASES = " ".join(f"WHEN regexp_matches(t, '{p[4:]}', 'i') THEN '{n}'" for p,
 @query(f"""SELECT doc_id, CASE WHEN regexp_extract(t, '{re2(infer.LABELLED)}', 1) <> '' AND length(regexp_extract(t, '{re2(infer.LABELLED)}', 2)) <= 240
   THEN 'label' {_PHRASES} WHEN length(t) >= 90 THEN 'Description' ELSE 'Field ' || (doc_id + 1) END AS name FROM (SELECT doc_id, {TEXT} AS t FROM documents)""")
 def inferred_names(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", V.collapse_space(F.col("text")).alias("t"))
+    docs = heavy_table(spark, sf_dir, "documents").select("doc_id", V.collapse_space(F.col("text")).alias("t"))
     none = F.array().cast("array<string>")
     named = infer.infer_name(F.lit("p"), F.col("t"), F.create_map().cast("map<string,string>"), none, F.col("doc_id"))
     return docs.withColumn("n", named).select(
