@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 #: Runtime SQL settings the plans are written for. Every page-level join is on
 #: ``page_id`` plus something finer, so a hash partitioning on ``page_id`` alone
 #: must be accepted by those joins: otherwise each of them shuffles again.
+#: Rows are small but costly to compute, so small shuffle outputs still go to many cores.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
