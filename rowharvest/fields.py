@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field as _field, replace
 
-# The field types, in the order the reference's type list has them.
+# The field types.
 FIELD_TYPES = ("text", "number", "price", "date", "url", "image", "email", "phone", "attribute", "html")
 NUMERIC_TYPES = ("number", "price")
 

@@ -1,23 +1,45 @@
-"""Durable record store: Parquet partitioned by session and batch."""
+"""Durable record store: Parquet partitioned by session bucket and batch.
+
+Sessions can be as many as pages, so they are hashed into a fixed number of buckets instead
+of getting directories of their own; a bucket and a batch name one directory.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowharvest.operators.records import last_batches
+from rowharvest.session import materialize
+
+BUCKETS = 64
+
+
+def _bucket(session: Column) -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket", "batch_id").parquet(path))
 
 
 def append_batch(records: DataFrame, path: str) -> None:
-    """Add a batch. Writing the same batch again replaces it, so a retried job adds nothing twice."""
-    (records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("session_id", "batch_id").parquet(path))
+    """Add batches. Writing the same batch again replaces it, so a retried job adds nothing twice.
+
+    The rebalancing puts each bucket into few files and splits a bucket that holds much more
+    than the others.
+    """
+    bucketed = records.withColumn("bucket", _bucket(F.col("session_id")))
+    _write(bucketed.hint("rebalance", F.col("bucket")), path)
 
 
 def read_records(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
-    """Records of the store; for one session only its directories are listed and read."""
+    """Records of the store; for one session only the directories of its bucket are read."""
     df = spark.read.option("basePath", path).parquet(path)
-    return df if session_id is None else df.where(F.col("session_id") == session_id)
+    if session_id is not None:
+        df = df.where((F.col("bucket") == _bucket(F.lit(session_id))) & (F.col("session_id") == session_id))
+    return df.drop("bucket")
 
 
 def _delete(spark: SparkSession, path: str) -> bool:
@@ -33,16 +55,33 @@ def _partition(name: str, value: str) -> str:
     return f"{name}=" + "".join(f"%{ord(c):02X}" if c in _SPECIAL else c for c in value)
 
 
+def _drop(spark: SparkSession, path: str, session_id: str, batches: list[str]) -> None:
+    """Remove a session's rows from some batches. Only their directories are touched: the rows of
+    other sessions are set aside first and then replace the directories."""
+    bucket = spark.range(1).select(_bucket(F.lit(session_id))).first()[0]
+    store = spark.read.option("basePath", path).parquet(path)
+    kept = materialize(store.where((F.col("bucket") == bucket) & F.col("batch_id").isin(batches)
+                                   & (F.col("session_id") != session_id)), "kept")
+    left = {r["batch_id"] for r in kept.select("batch_id").distinct().collect()}
+    if left:
+        _write(kept, path)
+    for batch in batches:
+        if batch not in left:
+            _delete(spark, f"{path}/bucket={bucket}/{_partition('batch_id', batch)}")
+
+
 def undo_last_batch(spark: SparkSession, path: str, session_id: str) -> str | None:
-    """Drop the newest batch of a session and return its id. A batch is a directory, so no
-    record is rewritten."""
+    """Drop the newest batch of a session and return its id."""
     newest = last_batches(read_records(spark, path, session_id)).first()
     if newest is None:
         return None
-    _delete(spark, f"{path}/{_partition('session_id', session_id)}/{_partition('batch_id', newest['batch_id'])}")
+    _drop(spark, path, session_id, [newest["batch_id"]])
     return newest["batch_id"]
 
 
 def clear_session(spark: SparkSession, path: str, session_id: str) -> bool:
-    """Drop all records of a session."""
-    return _delete(spark, f"{path}/{_partition('session_id', session_id)}")
+    """Drop all records of a session; False if it has none."""
+    batches = [r["batch_id"] for r in read_records(spark, path, session_id).select("batch_id").distinct().collect()]
+    if batches:
+        _drop(spark, path, session_id, batches)
+    return bool(batches)

@@ -18,7 +18,7 @@ def rows(spark):
     rnd = random.Random(5)
     # One session holds most of the rows and one fingerprint a third of them.
     data = [("hot" if rnd.random() < 0.7 else f"s{rnd.randrange(5)}", i,
-             "f0" if rnd.random() < 0.35 else f"f{rnd.randrange(60)}", f"b{i // 100}", rnd.random() < 0.1)
+             "f0" if rnd.random() < 0.35 else f"f{rnd.randrange(60)}", f"b{i // 5000}", rnd.random() < 0.1)
             for i in rnd.sample(range(100000), 1500)]
     return spark.createDataFrame(data, "session_id string, seq long, fingerprint string, batch_id string, incomplete boolean")
 
