@@ -9,6 +9,7 @@ from rowharvest.fields import Field, visible
 from rowharvest.functions import values as V
 from rowharvest.operators.extract import kind_of
 from rowharvest.operators.skew import RANGE_ROWS, ordered_index
+from rowharvest.session import materialize
 
 # Bounds of profiles and issues.
 PROFILE_FIELDS = 30
@@ -90,7 +91,8 @@ def evaluate_quality(records: DataFrame, fields: list[Field], keys: list[str] |
     keys = keys or ["_all"]
     df = records if grouped else records.withColumn("_all", F.lit(0))
     names = F.array(*[F.lit(f.name) for f in fields])
-    patterns = column_patterns(df, fields, keys).withColumn(
+    # Written once: three small aggregations read the counts, none reads the records again.
+    patterns = materialize(column_patterns(df, fields, keys), "patterns").withColumn(
         "p", F.split("pattern", ",").cast("array<int>"))
     totals = patterns.groupBy(*keys).agg(F.sum("n").alias("rows"))
     per_field = patterns.select(*keys, "n", F.posexplode(F.arrays_zip("p", "lengths")).alias("i", "e")).groupBy(
@@ -117,6 +119,6 @@ def evaluate_quality(records: DataFrame, fields: list[Field], keys: list[str] |
     issues = both.withColumn("issue_no", number).where(F.col("issue_no") <= MAX_ISSUES).select(*keys, "issue_no", "issue")
     if grouped:
         return issues
-    nothing = df.agg(F.count("*").alias("n")).where("n = 0").select(
+    nothing = patterns.agg(F.count("*").alias("n")).where("n = 0").select(
         F.lit(0).alias("_all"), F.lit(1).alias("issue_no"), F.lit("The plan removed every record.").alias("issue"))
     return issues.unionByName(nothing).drop("_all")
