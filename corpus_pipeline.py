@@ -18,10 +18,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: lines of ten or more documents go, from every document; a document of which nothing is left stays, empty."""
-    marked = docs.withColumn("doc_id", F.struct(*docs.columns))
-    cut = lines.line_dedup(marked)
-    return cut.select("doc_id.*", F.col("kept")).withColumn("text", F.col("kept")).withColumn(
-        "n_chars", F.char_length("kept").cast("long")).select(*docs.columns)
+    return lines.drop_common_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int = 5) -
     first = np.concatenate(([0], np.cumsum(counts)[:-1]))
     n = max(0, len(hashes) - size + 1)
     at = np.flatnonzero(rows[:n] == rows[size - 1:]) if n else np.empty(0, np.int64)
-    total = np.zeros(len(at), dtype=U64)
+    total = np.full(len(at), size, dtype=U64)
     for j in range(size):
         total += hashes[at + j] * PLACES[j]
     parts, places = [total], [at]

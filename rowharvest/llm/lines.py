@@ -26,6 +26,25 @@ def long_enough(key: Column, min_chars: int) -> Column:
     return F.length(F.regexp_replace(key, "[\\x{80}-\\x{BF}]", "")) >= min_chars
 
 
+def _cut(docs: DataFrame, min_documents: int, min_chars: int, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
+    """(row, n_lines, n_dropped, kept): row holds the named columns of a document, kept its text without common lines."""
+    row = docs.select(F.struct(*columns).alias("row"))
+    ident, text = F.col("row").getField(id_col), F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    keyed = lambda key: (F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))  # noqa: E731  two independent hashes
+    distinct = row.select(F.explode(F.array_distinct(line_keys(text))).alias("key")).where(long_enough(F.col("key"), min_chars))
+    frequent = distinct.select(*keyed(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n")).where(
+        F.col("n") >= min_documents).select("h1", "h2")
+    lines = row.select(ident.alias("ident"), F.xxhash64(text).alias("tag"), F.posexplode(line_keys(text)).alias("pos", "key")).where(
+        long_enough(F.col("key"), min_chars)).select("ident", "tag", "pos", *keyed(F.col("key")))
+    dropped = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("ident", "tag").agg(F.collect_set("pos").alias("dropped"))
+    joined = row.select("row", ident.alias("ident"), F.xxhash64(text).alias("tag")).alias("d").join(
+        dropped.alias("x"), F.col("d.ident").eqNullSafe(F.col("x.ident")) & (F.col("d.tag") == F.col("x.tag")), "left")
+    whole = joined.select("row", F.split(text, "\n").alias("lines"), F.coalesce(F.col("x.dropped"), F.array().cast("array<int>")).alias("dropped"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    kept = F.when(F.size("dropped") == 0, text).otherwise(F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n"))
+    return whole.select("row", F.size("lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), kept.alias("kept"))
+
+
 def line_dedup(docs: DataFrame, *, min_documents: int = 10, min_chars: int = 1, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept): each document without the lines found in ``min_documents`` or more.
@@ -42,19 +61,11 @@ def line_dedup(docs: DataFrame, *, min_documents: int = 10, min_chars: int = 1,
     A null text is one empty line. Every row is a document: rows that repeat an id are counted, cut and
     returned each on their own, also where the id is null. Other columns are ignored. An empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = lambda key: (F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))  # noqa: E731  two independent hashes
-    distinct = base.select(F.explode(F.array_distinct(line_keys(F.col("text")))).alias("key")).where(long_enough(F.col("key"), min_chars))
-    frequent = distinct.select(*keyed(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n")).where(
-        F.col("n") >= min_documents).select("h1", "h2")
-    lines = base.select("doc_id", F.xxhash64("text").alias("tag"), F.posexplode(line_keys(F.col("text"))).alias("pos", "key")).where(
-        long_enough(F.col("key"), min_chars)).select("doc_id", "tag", "pos", *keyed(F.col("key")))
-    dropped = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("dropped"))
-    joined = base.withColumn("tag", F.xxhash64("text")).alias("d").join(
-        dropped.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.tag") == F.col("x.tag")), "left")
-    whole = joined.select("d.doc_id", F.split(F.col("d.text"), "\n").alias("lines"),
-                          F.coalesce(F.col("x.dropped"), F.array().cast("array<int>")).alias("dropped"))
-    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
-    kept = F.when(F.size("dropped") == 0, F.array_join("lines", "\n")).otherwise(
-        F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n"))
-    return whole.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), kept.alias("kept"))
+    found = _cut(docs, min_documents, min_chars, id_col, text_col, [id_col, text_col])
+    return found.select(F.col("row").getField(id_col).alias("doc_id"), "n_lines", "n_dropped", "kept")
+
+
+def drop_common_lines(docs: DataFrame, *, min_documents: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with its common lines taken out of the text, see ``line_dedup``; all other columns stay as they are."""
+    found = _cut(docs, min_documents, min_chars, id_col, text_col, docs.columns)
+    return found.select(*[F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowharvest.llm import chunked_bpe, decontaminate, language, lines, weighted_minhash
+from rowharvest.llm import chat, chunked_bpe, decontaminate, language, lines, personal_data, suffixes, trie_lm, vectors, weighted_minhash
 from rowharvest.llm.common import remainder, table_reader
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +33,44 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query()
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.embedding_links(table_reader(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+@query()
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_recurring(table_reader(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything returned is read back from the formatted text and its mask."""
+    planted = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    table = table_reader(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    formatted = chat.format_conversations(chat.turn_messages(table.unionAll(spark.createDataFrame(planted, table.schema))))
+
+    def digests(batches):
+        hexed = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for batch in batches:
+            out = []
+            for conv, text, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "mask"))):
+                turns, loss = chat.read_turns(text), chat.read_mask(text, [(s["start"], s["end"]) for s in mask])
+                out.append((conv, len(turns), hexed("".join(f"{role}\n{said}\n" for role, said in turns)), len(loss), hexed(loss), len(text)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))],
+                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return formatted.mapInArrow(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+@query()
+def op4_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_lm.score_texts(table_reader(spark, sf_dir, "documents"), held=remainder("doc_id", 7) == 2)
+
+
 @query()
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.encode(table_reader(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -67,3 +107,11 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table_reader(spark, sf_dir, "documents"), table_reader(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(table_reader(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
