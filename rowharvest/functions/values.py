@@ -29,6 +29,10 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+#: The same, but not to be moved or repeated by the optimiser: into a join condition, for instance, where no Python runs.
+_nfkc_in_place = F.pandas_udf(lambda text: text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t)), StringType()).asNondeterministic()
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that it uses several times, so that the value is written and computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -46,9 +50,9 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(let(text, without_marks), f"{WHITESPACE}{{2,}}|{ODD_SPACE}", " "))
 
 
-def nfkc(text: Column) -> Column:
+def nfkc(text: Column, in_place: bool = False) -> Column:
     """Unicode NFKC form. Python sees only the texts it can change: the others travel as nulls."""
-    return F.coalesce(_nfkc(F.when(text.rlike(MAY_DECOMPOSE), text)), text)
+    return F.coalesce((_nfkc_in_place if in_place else _nfkc)(F.when(text.rlike(MAY_DECOMPOSE), text)), text)
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -96,12 +100,21 @@ DATE_SHAPES = (
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
     (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d:\d\d [A-Za-z]+$", "d MMM yyyy HH:mm:ss z"),
+    (r"^\d{4}$", "yyyy"),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d$", "yyyy-MM-dd HH:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4},? \d{1,2}:\d\d(:\d\d)?$", "M/d/yyyy[,] H:mm[:ss]"),
+    (r"^\d{1,2}/\d{1,2}/\d{4},? \d{1,2}:\d\d(:\d\d)? [AP]M$", "M/d/yyyy[,] h:mm[:ss] a"),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4},? \d{1,2}:\d\d(:\d\d)?$", "MMM d[,] yyyy[,] H:mm[:ss]"),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4},? \d{1,2}:\d\d(:\d\d)? [AP]M$", "MMM d[,] yyyy[,] h:mm[:ss] a"),
+    (r"^[A-Za-z]{4,} \d{1,2},? \d{4},? \d{1,2}:\d\d(:\d\d)?$", "MMMM d[,] yyyy[,] H:mm[:ss]"),
+    (r"^[A-Za-z]{4,} \d{1,2},? \d{4},? \d{1,2}:\d\d(:\d\d)? [AP]M$", "MMMM d[,] yyyy[,] h:mm[:ss] a"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4} \d\d:\d\d:\d\d GMT[+-]\d{4}$", "MMM d yyyy HH:mm:ss 'GMT'xx"),
 )
 
 
 def _read_shape(text: Column) -> Column:
     """The one format whose shape fits is tried: failing parses are far dearer than a look at the shape."""
-    dated = F.regexp_replace(text, r"^[A-Za-z]{3}, ", "")
+    dated = F.regexp_replace(text, r"^(?:[A-Za-z]{3}, |(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) )", "")
     spelled = let(F.regexp_extract(dated, r"^([^A-Za-z]*)([A-Za-z]{3,})(?= )", 2), lambda month: F.when(
         month == "", dated).otherwise(F.regexp_replace(dated, month, F.initcap(F.lower(month)))))
 
@@ -206,13 +219,25 @@ def resolve_url(ref: Column, base: Column) -> Column:
 # -- serialisation and fingerprints -------------------------------------------
 
 
+_EXPONENT = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
+
+
 def number_text(num: Column) -> Column:
-    """A double printed the way scripts print it: ``12`` and ``1234.5``, no exponent."""
-    whole = F.abs(num) < F.lit(1e18)
-    as_decimal = num.try_cast("decimal(38,12)").cast("string")
-    plain = F.regexp_replace(F.regexp_replace(as_decimal, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when((num == F.floor(num)) & whole, F.floor(num).cast("bigint").cast("string")).otherwise(
-        F.coalesce(plain, num.cast("string")))
+    """A double printed with the fewest digits that tell it apart, without exponent: ``12``, ``1234.5``."""
+    def plain(s: Column) -> Column:
+        digits = F.concat(F.regexp_extract(s, _EXPONENT, 2), F.regexp_replace(F.regexp_extract(s, _EXPONENT, 3), "0+$", ""))
+        point = F.regexp_extract(s, _EXPONENT, 4).try_cast("int") + 1
+
+        def moved(d: Column) -> Column:
+            size = F.length(d)
+            return (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), d))
+                    .when(point >= size, F.concat(d, F.repeat(F.lit("0"), point - size)))
+                    .otherwise(F.concat(F.substr(d, F.lit(1), point), F.lit("."), F.substr(d, point + 1))))
+
+        return F.when(s.rlike(_EXPONENT), F.concat(F.regexp_extract(s, _EXPONENT, 1), let(digits, moved))).otherwise(
+            F.regexp_replace(s, r"\.0$", ""))
+
+    return F.when(num == 0, F.lit("0")).otherwise(let(num.cast("string"), plain))
 
 
 def serialize(value: Column, kind: str) -> Column:
@@ -271,21 +296,30 @@ def csv_safe(text: Column) -> Column:
 # -- patterns -------------------------------------------------------------------
 
 
-def _capture_index(pattern: str) -> int:
-    import re
+def has_group(pattern: Column) -> Column:
+    """Does a pattern capture anything, by number or by name? Escaped signs and classes are left aside."""
+    bare = F.regexp_replace(F.regexp_replace(pattern, r"(?s)\\.", "e"), r"\[\^?\]?[^\]]*\]", "c")
+    return bare.rlike(r"\((?!\?)|\(\?<[A-Za-z]")
 
-    return 1 if re.search(r"(?<!\\)\((?!\?)", pattern) else 0
 
-
-def pattern_first(text: Column, pattern: str, flags: str = "iu") -> Column:
-    """Group 1 (else the whole) of the first match, '' when there is none."""
-    return F.regexp_extract(text, f"(?{flags}){pattern}" if flags else pattern, _capture_index(pattern))
+def matches_of(text: Column, full: Column, grouped: Column) -> Column:
+    """For every match group 1, or the whole match where there is no group or it took no part."""
+    whole = F.regexp_extract_all(text, full, F.lit(0))
+    inner = F.zip_with(whole, F.regexp_extract_all(text, full, F.lit(1)), lambda w, g: F.when(g == "", w).otherwise(g))
+    return F.when(grouped, inner).otherwise(whole)
 
 
 def pattern_all(text: Column, pattern: str, flags: str = "iu") -> Column:
     """Group 1 (else the whole) of every match, in order."""
+    return matches_of(text, F.lit(f"(?{flags}){pattern}" if flags else pattern), has_group(F.lit(pattern)))
+
+
+def pattern_first(text: Column, pattern: str, flags: str = "iu") -> Column:
+    """Group 1 (else the whole) of the first match, '' when there is none."""
     full = f"(?{flags}){pattern}" if flags else pattern
-    return F.regexp_extract_all(text, F.lit(full), F.lit(_capture_index(pattern)))
+    whole = F.regexp_extract(text, full, 0)
+    inner = F.coalesce(text_or_null(F.regexp_extract(text, full, 1)), whole)
+    return F.when(has_group(F.lit(pattern)), inner).otherwise(whole)
 
 
 def title_case(text: Column) -> Column:

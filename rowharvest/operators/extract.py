@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import asdict
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +14,6 @@ from rowharvest import schemas
 from rowharvest.fields import Field
 from rowharvest.functions import values as V
 from rowharvest.operators.infer import item_elements, matches_locator
-from rowharvest.operators.skew import salted_join
 from rowharvest.sources.nodes import VOID, text_of
 
 # What is never read from a page.
@@ -27,20 +26,20 @@ HTML_DROPPED = ("script", "style", "template", "input", "textarea", "select", "o
 
 def fields_table(spark, fields: list[Field], cid: str) -> DataFrame:
     """A field list as a table, for the items of the collection ``cid`` on any page."""
-    rows = [{**asdict(f), "field_no": number, "pattern": _usable_pattern(f)} for number, f in enumerate(fields, 1)]
+    rows = [{**asdict(f), "field_no": number, "pattern": _usable_pattern(spark, f)} for number, f in enumerate(fields, 1)]
     # A literal in the plan: no Python data source, and its size is known when joins are planned.
     return spark.sql("SELECT inline(from_json(:rows, :schema))", args={
         "rows": json.dumps(rows), "schema": T.ArrayType(schemas.FIELD).simpleString()}).drop("collection_id").withColumn(
         "cid", F.lit(cid))
 
 
-def _usable_pattern(field: Field) -> str | None:
-    """The pattern if it is a valid expression: an invalid one leaves the raw text."""
+def _usable_pattern(spark, field: Field) -> str | None:
+    """The pattern if the engine that runs it takes it: any other leaves the raw text."""
     if not field.pattern:
         return None
     try:
-        re.compile(field.pattern)
-    except re.error:
+        spark.sql("SELECT '' RLIKE :pattern", args={"pattern": field.pattern}).collect()
+    except PySparkException:
         return None
     return field.pattern
 
@@ -48,23 +47,7 @@ def _usable_pattern(field: Field) -> str | None:
 # -- P5 locators to elements ----------------------------------------------------------------
 
 
-#: Most fields that are broadcast; more are joined by shuffle.
-SHARED_FIELDS = 10_000
-
-
-def _few(fields: DataFrame) -> bool:
-    """Are these the fields of collections shared by many pages, and few enough to broadcast?"""
-    return "page_id" not in fields.columns and fields.limit(SHARED_FIELDS + 1).count() <= SHARED_FIELDS
-
-
-def _with_specs(rows: DataFrame, specs: DataFrame, on: list[str], few: bool) -> DataFrame:
-    """Fields of one page's collection meet their page's rows; fields shared by many pages are a lookup."""
-    if few:
-        return rows.join(F.broadcast(specs), on)
-    return rows.join(specs, on) if "page_id" in on else salted_join(rows, specs, on)
-
-
-def match_locators(nodes: DataFrame, items: DataFrame, fields: DataFrame, few: bool | None = None) -> DataFrame:
+def match_locators(nodes: DataFrame, items: DataFrame, fields: DataFrame) -> DataFrame:
     """Elements each field finds in each item: the first locator with a match decides.
 
     ``items``: page_id, cid, item. ``fields`` belong to a cid, or to a page_id and cid.
@@ -72,7 +55,6 @@ def match_locators(nodes: DataFrame, items: DataFrame, fields: DataFrame, few: b
     locators it could satisfy.
     """
     on = [k for k in ("page_id", "cid") if k in fields.columns]
-    few = _few(fields) if few is None else few
     places = nodes.select("page_id", F.col("pre").alias("item"), F.col("tag").alias("item_tag"),
                           F.col("path").alias("item_path"))
     wanted = items.select("page_id", "cid", "item").join(places, ["page_id", "item"])
@@ -80,9 +62,9 @@ def match_locators(nodes: DataFrame, items: DataFrame, fields: DataFrame, few: b
         "tag", F.col("loc.tag"))
     inside = item_elements(nodes, wanted).select(
         "page_id", "cid", "item", "pre", "tag", "id", "classes", "attrs", "steps")
-    below = _with_specs(inside, locators.where("not loc.scope"), [*on, "tag"], few).where(
+    below = inside.join(locators.where("not loc.scope"), [*on, "tag"]).where(
         matches_locator(F.col("loc"))).select("page_id", "cid", "item", "field_no", "rank", "pre")
-    itself = _with_specs(wanted, locators.where("loc.scope").drop("tag", "loc"), on, few).select(
+    itself = wanted.join(locators.where("loc.scope").drop("tag", "loc"), on).select(
         "page_id", "cid", "item", "field_no", "rank", F.col("item").alias("pre"))
     best = F.min("rank").over(Window.partitionBy("page_id", "cid", "item", "field_no"))
     return below.unionByName(itself).withColumn("best", best).where("rank = best").drop("rank", "best")
@@ -195,8 +177,7 @@ def pattern_values(raw: Column) -> Column:
     """Array of the values a field's pattern finds in ``raw``; ``raw`` itself without a pattern."""
     flags = F.regexp_replace(F.coalesce("pattern_flags", F.lit("i")), "[^ims]", "")
     full = F.concat(F.lit("(?"), flags, F.lit("u)"), F.col("pattern"))
-    grouped = F.col("pattern").rlike(r"(?<!\\)\((?!\?)")
-    found = F.regexp_extract_all(raw, full, F.when(grouped, 1).otherwise(0))
+    found = V.matches_of(raw, full, V.has_group(F.col("pattern")))
     return (F.when(F.col("pattern").isNull(), F.array(raw)).when(F.col("multiple"), found)
             .otherwise(F.array(F.coalesce(F.get(found, F.lit(0)), F.lit("")))))
 
@@ -224,8 +205,7 @@ def extract_records(nodes: DataFrame, items: DataFrame, fields: DataFrame, with_
     on = [k for k in ("page_id", "cid") if k in fields.columns]
     specs = fields.select(*on, "field_no", F.col("id").alias("field_id"), "type", "attribute", "pattern",
                           "pattern_flags", "multiple", "required")
-    few = _few(fields)
-    found = _with_specs(match_locators(nodes, items, fields, few), specs, [*on, "field_no"], few)
+    found = match_locators(nodes, items, fields).join(specs, [*on, "field_no"])
     textual = found.where(~F.col("type").isin("url", "image", "attribute", "html"))
     texts = text_of(nodes, textual.select("page_id", "pre"))
     whole = found.join(nodes.select("page_id", "pre", "tag", "attrs", "base_url"), ["page_id", "pre"]).join(
@@ -249,7 +229,7 @@ def extract_records(nodes: DataFrame, items: DataFrame, fields: DataFrame, with_
     columns = ["page_id", "cid", "item", "ord"]
     none = F.array().cast("array<string>")
     document = nodes.where("pre = 0").select("page_id", F.col("page_url").alias("source_url"), "base_url")
-    filled = _with_specs(items.select(*columns), specs, on, few).join(
+    filled = items.select(*columns).join(specs, on).join(
         per_field, ["page_id", "cid", "item", "field_no"], "left").join(document, ["page_id"], "left").withColumns(
         {"raws": F.coalesce("raws", none), "parts": F.coalesce("parts", none)})
     single = V.typed_value(V.collapse_space(F.get("parts", F.lit(0))), F.col("type"), F.col("base_url"))

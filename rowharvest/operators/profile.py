@@ -8,61 +8,43 @@ from pyspark.sql import functions as F
 from rowharvest.fields import Field, visible
 from rowharvest.functions import values as V
 from rowharvest.operators.extract import kind_of
-from rowharvest.operators.skew import RANGE_ROWS, ordered_index
 from rowharvest.session import materialize
 
 # Bounds of profiles and issues.
-PROFILE_FIELDS = 30
-PROFILE_ROWS = 2_000
 SAMPLE_LENGTH = 160
 SAMPLES = 3
 MIN_COVERAGE = 0.05
 MAX_MEAN_LENGTH = 1400
 EQUAL_SHARE = 0.9
-MAX_ISSUES = 8
 
 
 def _text(field: Field) -> Column:
     return V.serialize(F.col(field.id), kind_of(field))
 
 
-def sample_evenly(records: DataFrame, keys: list[str], order: str, rows: int = PROFILE_ROWS,
-                  range_rows: int = RANGE_ROWS) -> DataFrame:
-    """At most ``rows`` evenly spaced records of every key, first and last included, with their ``idx``.
-
-    Row i of the sample is row floor(i * (n - 1) / (rows - 1)) of the key's n rows.
-    """
-    sizes = records.groupBy(*keys).agg(F.count("*").alias("_n"))
-    indexed = ordered_index(records, keys, order, range_rows)
-    sized = indexed.join(sizes, keys)
-    n, r, last = F.col("_n"), F.col("idx"), rows - 1
-    slot = F.floor((r * last + n - 2) / F.greatest(n - 1, F.lit(1)))
-    chosen = (slot <= last) & (F.floor(slot * (n - 1) / F.lit(last)) == r)
-    return sized.where((n <= rows) | chosen).drop("_n")
-
-
 def profile_fields(records: DataFrame, fields: list[Field], keys: list[str], order: str) -> DataFrame:
-    """Per key and field: coverage, unique_ratio, average_length and the first samples.
+    """Per key and visible field, over all records: coverage, unique_ratio, average_length and the first samples.
 
-    Looks at up to 30 visible fields of up to 2,000 evenly spaced rows, so everything after
-    the sampling is bounded per key.
+    Values are counted per key, field and value before anything is gathered. The samples are the three values
+    that come first by ``order``, each shown up to 160 characters; ranks above three are dropped before the shuffle.
     """
-    shown = visible(fields)[:PROFILE_FIELDS]
-    rows = sample_evenly(records.select(*keys, order, *[f.id for f in shown]), keys, order)
-    cells = rows.select(*keys, "idx", F.inline(F.array(*[F.struct(
+    shown = visible(fields)
+    cells = records.select(*keys, F.col(order).alias("_at"), F.inline(F.array(*[F.struct(
         F.lit(i).alias("field_no"), F.lit(f.id).alias("id"), F.lit(f.name[:80]).alias("name"), F.lit(f.type).alias("type"),
         _text(f).alias("value")) for i, f in enumerate(shown, 1)])))
     by_field = [*keys, "field_no", "id", "name", "type"]
-    by_value = cells.groupBy(*by_field, "value").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
+    by_value = materialize(cells.groupBy(*by_field, "value").agg(F.count("*").alias("n"), F.min("_at").alias("first")), "values")
     filled = F.col("value") != ""
     count = F.coalesce(F.sum(F.when(filled, F.col("n"))), F.lit(0))
-    first_values = F.slice(F.array_sort(F.collect_list(F.when(filled, F.struct("first", "value")))), 1, SAMPLES)
+    first = F.row_number().over(Window.partitionBy(*by_field).orderBy("first", "value"))
+    samples = by_value.where(filled).withColumn("k", first).where(F.col("k") <= SAMPLES).groupBy(*by_field).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("k", "value"))), lambda s: F.substring(s["value"], 1, SAMPLE_LENGTH)).alias("samples"))
     return by_value.groupBy(*by_field).agg(
         (count / F.sum("n")).alias("coverage"),
         F.when(count > 0, F.count_if(filled) / count).otherwise(F.lit(0.0)).alias("unique_ratio"),
         F.when(count > 0, F.sum(F.when(filled, F.length("value") * F.col("n"))) / count).otherwise(F.lit(0.0))
-        .alias("average_length"),
-        F.transform(first_values, lambda s: F.substring(s["value"], 1, SAMPLE_LENGTH)).alias("samples"))
+        .alias("average_length")).join(samples, by_field, "left").withColumn(
+        "samples", F.coalesce("samples", F.array().cast("array<string>")))
 
 
 def column_patterns(records: DataFrame, fields: list[Field], keys: list[str]) -> DataFrame:
@@ -81,11 +63,13 @@ def column_patterns(records: DataFrame, fields: list[Field], keys: list[str]) ->
             F.sum(f"_len{i}") for i in range(len(fields))]).alias("lengths"))
 
 
-def evaluate_quality(records: DataFrame, fields: list[Field], keys: list[str] | None = None) -> DataFrame:
-    """Up to eight issues per key, in order: keys, issue_no, issue.
+def evaluate_quality(records: DataFrame, fields: list[Field], keys: list[str] | None = None, *, expected: DataFrame | None = None,
+                     most: int | None = None) -> DataFrame:
+    """All issues (with ``most``, the first so many) per key, in order: keys, issue_no, issue.
 
     One pass over the records: empty and verbose columns and equal column pairs all follow
-    from the pattern counts. Without keys an empty set is itself an issue.
+    from the pattern counts. A set without records is itself an issue: the whole set without keys, and
+    with keys those of ``expected`` (a table of the keys there were before) that have none left.
     """
     grouped = bool(keys)
     keys = keys or ["_all"]
@@ -101,10 +85,10 @@ def evaluate_quality(records: DataFrame, fields: list[Field], keys: list[str] |
     name = F.get(names, F.col("i"))
     of_fields = per_field.select(*keys, F.col("i"), F.inline(F.array_compact(F.array(
         F.when(F.col("filled") / F.col("rows") < MIN_COVERAGE, F.struct(
-            F.lit(0).alias("j"), F.concat(name, F.lit(" is empty in more than 95% of records.")).alias("issue"))),
+            F.lit(0).alias("j"), F.concat(name, F.lit(": fewer than 5% of the records have a value")).alias("issue"))),
         F.when((F.col("filled") > 0) & (F.col("chars") / F.col("filled") > MAX_MEAN_LENGTH), F.struct(
             F.lit(1).alias("j"),
-            F.concat(name, F.lit(" is unusually verbose and may contain a whole record.")).alias("issue")))))))
+            F.concat(name, F.lit(": values are so long that they may be whole records")).alias("issue")))))))
     places = F.transform("p", lambda v, i: F.struct(i.alias("i"), v.alias("v")))
     filled = F.filter(places, lambda e: e["v"] > 0)
     pairs = patterns.withColumn("f", filled).select(*keys, "n", "f", F.explode("f").alias("a")).select(
@@ -112,13 +96,14 @@ def evaluate_quality(records: DataFrame, fields: list[Field], keys: list[str] |
     equal = pairs.groupBy(*keys, F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(
         F.sum("n").alias("compared"), F.sum(F.when(F.col("a.v") == F.col("b.v"), F.col("n")).otherwise(0)).alias("same"))
     of_pairs = equal.where((F.col("compared") >= 2) & (F.col("same") / F.col("compared") > EQUAL_SHARE)).select(
-        *keys, "i", "j", F.concat(F.get(names, F.col("i")), F.lit(" and "), F.get(names, F.col("j")),
-                                  F.lit(" contain duplicate values.")).alias("issue"))
+        *keys, "i", "j", F.concat(F.get(names, F.col("i")), F.lit(" = "), F.get(names, F.col("j")),
+                                  F.lit(": nearly all values are equal")).alias("issue"))
     both = of_fields.withColumn("part", F.lit(0)).unionByName(of_pairs.withColumn("part", F.lit(1)))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("part", "i", "j"))
-    issues = both.withColumn("issue_no", number).where(F.col("issue_no") <= MAX_ISSUES).select(*keys, "issue_no", "issue")
+    issues = both.withColumn("issue_no", number).where(F.lit(True) if most is None else F.col("issue_no") <= most).select(*keys, "issue_no", "issue")
+    emptied = [F.lit(1).alias("issue_no"), F.lit("no record is left").alias("issue")]
     if grouped:
-        return issues
-    nothing = patterns.agg(F.count("*").alias("n")).where("n = 0").select(
-        F.lit(0).alias("_all"), F.lit(1).alias("issue_no"), F.lit("The plan removed every record.").alias("issue"))
+        return issues if expected is None else issues.unionByName(
+            expected.select(*keys).distinct().join(totals, keys, "left_anti").select(*keys, *emptied))
+    nothing = patterns.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(0).alias("_all"), *emptied)
     return issues.unionByName(nothing).drop("_all")

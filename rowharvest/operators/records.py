@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowharvest.functions import values as V
-from rowharvest.operators.skew import RANGE_ROWS, lookup_join, ordered_index
+from rowharvest.operators.skew import RANGE_ROWS, ordered_index
 
 NEAR_LIMIT = 0.8
 
@@ -29,36 +29,24 @@ def count_duplicates(records: DataFrame, keys: list[str], identity: list[str]) -
         F.sum("n").alias("total"), F.count("*").alias("kept"), (F.sum("n") - F.count("*")).alias("duplicates"))
 
 
-def cap_records(records: DataFrame, keys: list[str], order: str, limit: int,
-                range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The first ``limit`` records of every key by the unique, numeric ``order`` column.
+def cap(records: DataFrame, keys: list[str], order: str, limit: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The first ``limit`` records of every key by the numeric or time column ``order``.
 
-    Exact whatever the sizes: keys within the limit are kept as they are, and a key beyond
-    it is cut at the order value of its ``limit``-th row, which is found range by range.
+    Exact whatever the sizes: keys within the limit are kept as they are, and a key beyond it is cut at the
+    order value of its ``limit``-th row, which is found range by range. Of rows with just that value the first
+    by their other columns are kept, as many as fit.
     """
     sizes = records.groupBy(*keys).agg(F.count("*").alias("_n"))
     over = sizes.where(F.col("_n") > limit).select(*keys)
     ranked = ordered_index(records.select(*keys, order).join(over, keys, "left_semi"), keys, order, range_rows)
     cuts = ranked.where(F.col("idx") == limit - 1).select(*keys, F.col(order).alias("_cut"))
-    return lookup_join(records, cuts, keys, "left").where(
-        F.col("_cut").isNull() | (F.col(order) <= F.col("_cut"))).drop("_cut")
-
-
-def cap_records_small(records: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
-    """``cap_records`` for small limits: every task keeps its own first ``limit`` rows of a key
-    before the shuffle (Spark's group limit), so no key collects more than tasks x limit rows."""
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return records.withColumn("_n", number).where(F.col("_n") <= limit).drop("_n")
-
-
-#: Up to this limit Spark prunes ranked groups before the shuffle by itself.
-GROUP_LIMIT = 1000
-
-
-def cap(records: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
-    return (cap_records_small if limit <= GROUP_LIMIT else cap_records)(records, keys, order, limit)
+    marked = records.join(cuts, keys, "left")
+    before = marked.where(F.col("_cut").isNull() | (F.col(order) < F.col("_cut"))).drop("_cut")
+    ties = marked.where(F.col(order) == F.col("_cut")).drop("_cut")
+    room = ranked.join(cuts, keys).groupBy(*keys).agg((limit - F.count_if(F.col(order) < F.col("_cut"))).alias("_room"))
+    rest = [F.to_json(F.struct(*[c for c in records.columns if c not in (*keys, order)]))]
+    first = ties.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*rest))).where(F.col("_n") <= limit)
+    return before.unionByName(first.join(room, keys).where(F.col("_n") <= F.col("_room")).drop("_n", "_room"))
 
 
 def last_batches(records: DataFrame, session: str = "session_id", batch: str = "batch_id", order: str = "seq") -> DataFrame:
@@ -69,7 +57,7 @@ def last_batches(records: DataFrame, session: str = "session_id", batch: str = "
 def undo_last_batch(records: DataFrame, session: str = "session_id", batch: str = "batch_id",
                     order: str = "seq") -> DataFrame:
     """All records but those of each session's newest batch."""
-    return lookup_join(records, last_batches(records, session, batch, order), [session, batch], "left_anti")
+    return records.join(last_batches(records, session, batch, order), [session, batch], "left_anti")
 
 
 def capture_stats(records: DataFrame, keys: list[str], batch: str = "batch_id", incomplete: str = "incomplete",

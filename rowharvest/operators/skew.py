@@ -1,57 +1,16 @@
-"""Joins and ranks that stay balanced when one key holds a large share of the rows."""
+"""Ranks that stay balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Largest lookup side that is broadcast, in rows; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
-HOT_ROWS = 1_000_000
-HOT_KEYS = 256
-SALTS = 64
 #: Rows one ranking task may sort.
 RANGE_ROWS = 2_000_000
 COARSE = 64
 MAX_FINE = 4096
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join against a lookup table: broadcast after counting it, salted beyond ``max_rows``."""
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return salted_join(big, small, on, how)
-
-
-def hot_keys(df: DataFrame, on: list[str], rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``rows`` rows; at most 256 of them, the largest ones."""
-    counts = df.groupBy(*on).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > rows)
-    return counts.orderBy(F.col("n_rows").desc(), *on).limit(HOT_KEYS).drop("n_rows")
-
-
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int = HOT_ROWS,
-                salts: int = SALTS) -> DataFrame:
-    """Join whose hot left keys are spread over ``salts`` tasks; the matching right rows are repeated.
-
-    The salt is a hash of the row, so a retried task gives the same rows. How many keys
-    count as hot only affects speed.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"cannot salt a {how} join")
-    hot = F.broadcast(hot_keys(left, on, rows).withColumn("hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[c for c in left.columns if _hashable(left, c)]), F.lit(salts)).cast("int")
-    salted_left = left.join(hot, on, "left").withColumn(
-        "salt", F.when(F.col("hot"), spread).otherwise(F.lit(0))).drop("hot")
-    salted_right = right.join(hot, on, "left").withColumn("salt", F.explode(
-        F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    return salted_left.join(salted_right, [*on, "salt"], how).drop("salt")
-
-
-def _hashable(df: DataFrame, name: str) -> bool:
-    return "map<" not in df.schema[name].dataType.simpleString()
-
-
 def _as_number(df: DataFrame, order: str) -> Column:
     is_time = df.schema[order].dataType.typeName().startswith("timestamp")
     return F.unix_micros(F.col(order).cast("timestamp")) if is_time else F.col(order)

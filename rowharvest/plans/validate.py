@@ -89,8 +89,19 @@ def validate_plans(plans: DataFrame, profiles: DataFrame, on: list[str], json: s
     facts = parsed.join(known, on, "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
     fields = F.col("plan.fields")
 
+    # All names of a plan get their Unicode step together: array functions have none.
+    between = "\x1f"
+
+    def spoken(names: Column) -> Column:
+        joined = F.array_join(F.transform(names, lambda n: F.replace(n, F.lit(between), F.lit(" "))), between)
+        return F.when(F.size(names) > 0, F.transform(F.split(V.nfkc(joined, in_place=True), between), V.collapse_space)).otherwise(names)
+
+    facts = facts.withColumn("spoken", spoken(F.transform(fields, lambda f: F.coalesce(f["name"], F.lit(""))))).withColumn(
+        "wanted", F.transform(spoken(F.col("plan.deduplicateBy")), F.lower)).withColumn(
+        "plan", F.col("plan").withField("fields", F.zip_with(fields, "spoken", lambda f, n: f.withField("name", n))))
+
     def name_of(f: Column) -> Column:
-        return F.substring(V.collapse_space(f["name"]), 1, 80)
+        return F.substring(f["name"], 1, 80)
 
     facts = facts.withColumn("names", F.transform(fields, lambda f: F.lower(name_of(f))))
 
@@ -115,8 +126,7 @@ def validate_plans(plans: DataFrame, profiles: DataFrame, on: list[str], json: s
         reason(some(lambda f: f["multiple"].isNull() | f["reason"].isNull()), "malformed field"),
         reason((F.size("plan.droppedSources") > MAX_DROPPED)
                | (F.size(F.array_except("plan.droppedSources", "known")) > 0), "invalid dropped sources"),
-        reason((F.size("plan.deduplicateBy") > MAX_DEDUPE) | (F.size(F.array_except(F.transform(
-            "plan.deduplicateBy", lambda n: F.lower(V.collapse_space(n))), "names")) > 0), "invalid deduplication"),
+        reason((F.size("plan.deduplicateBy") > MAX_DEDUPE) | (F.size(F.array_except("wanted", "names")) > 0), "invalid deduplication"),
     ))
     normal = F.struct(
         F.coalesce(V.text_or_null(F.substring(V.collapse_space(F.col("plan.recordType")), 1, 80)), F.lit("records"))

@@ -162,8 +162,8 @@ def element_paths(spark, sf_dir):
 _SCORE = f"""WITH l AS (SELECT page_id, ord, {LABEL} AS t, length({LABEL}) AS n FROM ({LINKS})),
 f AS (SELECT page_id, n AS first_n FROM l WHERE ord = 1),
 s AS (SELECT page_id, avg(0.89 + 0.1 * least(n, first_n) / greatest(n, first_n)) AS consistency
-      FROM l JOIN f USING (page_id) WHERE ord BETWEEN 2 AND 12 GROUP BY page_id),
-a AS (SELECT page_id, count(*) AS items, avg(least(n, 700)) AS avg_text,
+      FROM l JOIN f USING (page_id) WHERE ord >= 2 GROUP BY page_id),
+a AS (SELECT page_id, count(*) AS items, avg(n) AS avg_text,
       avg(CASE WHEN regexp_matches(t, 'library\\s+id|price|₹|\\$|rating|email|phone|started\\s+running|minimum\\s+order', 'i')
           THEN 1.0 ELSE 0.0 END) AS cue FROM l GROUP BY page_id)
 SELECT page_id, 'ul' AS container_css, ':scope > li' AS item_css, CAST(items AS BIGINT) AS item_count,
@@ -201,7 +201,7 @@ def detected_records(spark, sf_dir):
 
 
 @query(f"""SELECT page_id, CAST(count(*) AS BIGINT) AS item_count, ':scope > li' AS item_css,
-  'Selected item is semantically similar to ' || count(*) || ' sibling records.' AS explanation FROM ({LINKS}) GROUP BY page_id""")
+  'chosen element and its likes: ' || count(*) AS explanation FROM ({LINKS}) GROUP BY page_id""")
 def point_selection(spark, sf_dir):
     """Somebody clicks the first menu link of every page."""
     nodes = written_nodes(spark, sf_dir)
@@ -253,7 +253,7 @@ def framed_pages(spark, sf_dir):
     nodes = materialize(page_nodes(both), "nodes")
     from rowharvest.sources.frames import frame_links
 
-    stitched = stitch_frames(nodes, both, depth=1).where("page_id >= 1000000000")
+    stitched = stitch_frames(nodes, both).where("page_id >= 1000000000")
     closed = P.page_limitations(hosts, nodes, frame_links(nodes, both)).select("page_id", F.col("inaccessible_frames").cast("int"))
     return stitched.groupBy("page_id").agg(
         F.count_if(F.col("tag") == "li").alias("n_li"), F.count_if(F.col("tag") == "article").alias("n_article")).join(closed, ["page_id"])

@@ -36,11 +36,11 @@ def planned_customers(spark, sf_dir):
     return out.select("id", *[(F.array_join(F.col(f.id), "") if f.name == "Letters" else F.col(f.id)).alias(f.name) for f in fields])
 
 
-_TEXT2000 = "substr(text || ' \n ' || source, 1, 2000)"
+_WHOLE = "(text || ' \n ' || source)"
 
 
-@query(f"""SELECT doc_id, {COLLAPSED.format("substr(text || ' | ' || source || ' | ' || lang, 1, 2000)")} AS joined,
-  nullif(regexp_extract({_TEXT2000}, '([A-Z0-9._%+-]+@[A-Z0-9.-]+)', 1, 'i'), '') AS mail,
+@query(f"""SELECT doc_id, {COLLAPSED.format("(text || ' | ' || source || ' | ' || lang)")} AS joined,
+  nullif(regexp_extract({_WHOLE}, '([A-Z0-9._%+-]+@[A-Z0-9.-]+)', 1, 'i'), '') AS mail,
   {COLLAPSED.format("text")} AS whole FROM documents
   QUALIFY row_number() OVER (PARTITION BY {COLLAPSED.format("text")} ORDER BY doc_id) = 1""")
 def planned_documents(spark, sf_dir):
@@ -48,7 +48,7 @@ def planned_documents(spark, sf_dir):
     plan = Plan((PlanField("joined", "text", ("text", "source", "lang"), "concat"),
                  PlanField("mail", "email", ("text", "source"), "regex", r"([A-Z0-9._%+-]+@[A-Z0-9.-]+)"),
                  PlanField("whole", "text", ("text",))), ("Whole",))
-    out, made = apply_plan(heavy_table(spark, sf_dir, "documents"), plan, fields, ["doc_id"], "doc_id", nfkc=True)
+    out, made = apply_plan(heavy_table(spark, sf_dir, "documents"), plan, fields, ["doc_id"], "doc_id")
     return out.select("doc_id", *[F.col(f.id).alias(f.name) for f in made])
 
 
@@ -173,7 +173,7 @@ def attached_plans(spark, sf_dir):
         F.sha2(F.col("o_custkey").cast("string"), 256).alias("plan_key"), F.concat(F.lit("plan "), "o").alias("plan_json"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"))
     keyed = table(spark, sf_dir, "customer").select("c_custkey", F.sha2(F.col("c_custkey").cast("string"), 256).alias("plan_key"))
-    return attach_plans(keyed, cache, NOW, keep=None).select("c_custkey", "cache_hit", "plan_json")
+    return attach_plans(keyed, cache, NOW).select("c_custkey", "cache_hit", "plan_json")
 
 
 @query("SELECT count(DISTINCT c_nationkey) AS sessions, count(DISTINCT c_nationkey) AS keys, 64 AS key_length FROM customer")

@@ -113,14 +113,11 @@ def newest_states(spark, sf_dir):
 
 ORDER_FIELDS = [Field("o_orderpriority", "Priority"), Field("o_totalprice", "Price", "price"), Field("rare", "Rare"),
                 Field("secret", "Secret", hidden=True)]
-_PROFILE = """WITH n AS (SELECT o_orderstatus AS session_id, count(*) AS n FROM orders GROUP BY ALL),
-r AS (SELECT o_orderstatus AS session_id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS idx, *,
-      CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS rare FROM orders),
-s AS (SELECT r.* FROM r JOIN n USING (session_id) WHERE n <= 2000 OR idx IN (SELECT (i * (n - 1)) // 1999 FROM range(2000) g(i))),
+_PROFILE = """WITH s AS (SELECT o_orderstatus AS session_id, o_orderkey AS idx, *, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS rare FROM orders),
 c AS (SELECT session_id, idx, 'o_orderpriority' AS id, o_orderpriority AS v FROM s UNION ALL
       SELECT session_id, idx, 'o_totalprice', regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') FROM s UNION ALL
       SELECT session_id, idx, 'rare', coalesce(rare, '') FROM s),
-d AS (SELECT session_id, id, v, min(idx) AS first, row_number() OVER (PARTITION BY session_id, id ORDER BY min(idx)) AS k
+d AS (SELECT session_id, id, v, min(idx) AS first, row_number() OVER (PARTITION BY session_id, id ORDER BY min(idx), v) AS k
       FROM c WHERE v <> '' GROUP BY session_id, id, v),
 f AS (SELECT session_id, id, string_agg(v, '|' ORDER BY k) AS samples FROM d WHERE k <= 3 GROUP BY ALL)
 SELECT session_id, id, round(count(*) FILTER (WHERE v <> '') / count(*), 6) AS coverage,
@@ -146,15 +143,14 @@ _ISSUES = f"""WITH w AS (SELECT doc_id, source AS session_id, lang, repeat(text,
   CASE WHEN doc_id % 97 = 0 THEN 'x' ELSE '' END AS rare, coalesce(CAST(quality AS VARCHAR), '') AS quality, coalesce(CAST(toxic AS VARCHAR), '') AS toxic
   FROM documents LEFT JOIN labels USING (doc_id)),
 c AS ({' UNION ALL '.join(f"SELECT session_id, doc_id, {i} AS i, '{n}' AS name, {c} AS v FROM w" for i, c, n in _COLS)}),
-f AS (SELECT session_id, i, 0 AS part, 0 AS j, name || ' is empty in more than 95% of records.' AS issue FROM c GROUP BY session_id, i, name
+f AS (SELECT session_id, i, 0 AS part, 0 AS j, name || ': fewer than 5% of the records have a value' AS issue FROM c GROUP BY session_id, i, name
       HAVING count(*) FILTER (WHERE v <> '') / count(*) < 0.05
-      UNION ALL SELECT session_id, i, 0, 1, name || ' is unusually verbose and may contain a whole record.' FROM c GROUP BY session_id, i, name
+      UNION ALL SELECT session_id, i, 0, 1, name || ': values are so long that they may be whole records' FROM c GROUP BY session_id, i, name
       HAVING avg(length(v)) FILTER (WHERE v <> '') > 1400
-      UNION ALL SELECT a.session_id, a.i, 1, b.i, a.name || ' and ' || b.name || ' contain duplicate values.' FROM c a JOIN c b
+      UNION ALL SELECT a.session_id, a.i, 1, b.i, a.name || ' = ' || b.name || ': nearly all values are equal' FROM c a JOIN c b
         ON a.session_id = b.session_id AND a.doc_id = b.doc_id AND a.i < b.i AND a.v <> '' AND b.v <> ''
       GROUP BY a.session_id, a.i, a.name, b.i, b.name HAVING count(*) >= 2 AND count(*) FILTER (WHERE a.v = b.v) / count(*) > 0.9)
-SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY part, i, j) AS INT) AS issue_no, issue FROM f
-QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY part, i, j) <= 8"""
+SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY part, i, j) AS INT) AS issue_no, issue FROM f"""
 
 
 def document_records(spark, sf_dir):

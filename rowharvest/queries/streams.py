@@ -40,7 +40,7 @@ def streamed_keys_bounded(spark, sf_dir):
 def streamed_totals(spark, sf_dir):
     path = scratch_path(spark, "totals")
     totals = C.stream_stats(event_stream(spark, sf_dir).select("user_id", "value"), ["user_id"], {"value": "value"})
-    C.run_available(C.write_changes(totals, path, scratch_path(spark, "checkpoint")))
+    C.run_available(C.write_changes(totals, path, scratch_path(spark, "checkpoint"), ["user_id"]))
     return C.latest_totals(spark, path, ["user_id"]).select("user_id", "n", F.round("value", 4).alias("value"))
 
 
@@ -71,7 +71,16 @@ def streamed_records(spark, sf_dir):
     return spark.read.parquet(path).select(F.md5(page).alias("page"), v["label"]["str"].alias("label"), v["target"]["str"].alias("target"))
 
 
-@query()
+#: Errors of a user between two other events are one wait: up to three retries, and a completion if another event follows.
+_RETRIES = """WITH e AS (SELECT user_id, event_type = 'error' AS bad, count(*) FILTER (WHERE event_type <> 'error') OVER (
+  PARTITION BY user_id ORDER BY event_id) AS wait FROM events),
+w AS (SELECT user_id, wait, least(count(*), 3) AS n FROM e WHERE bad GROUP BY ALL),
+g AS (SELECT user_id, max(wait) AS others FROM e GROUP BY ALL)
+SELECT 's' AS session_id, CAST(user_id AS VARCHAR) AS item_key, 'retry' AS status, CAST(a AS INT) AS attempts FROM w, range(1, 4) r(a) WHERE a <= n
+UNION ALL SELECT 's', CAST(user_id AS VARCHAR), 'completed', CAST(n AS INT) FROM w JOIN g USING (user_id) WHERE others > wait"""
+
+
+@query(_RETRIES)
 def streamed_retries(spark, sf_dir):
     """Users as items, errors as incomplete readings."""
     rows = event_stream(spark, sf_dir).select(F.lit("s").alias("session_id"), F.col("user_id").cast("string").alias("item_key"),

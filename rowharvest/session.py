@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -35,10 +35,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder all executors share (``spark.checkpoint.dir``).
 
-    A private temporary folder is used only when the session names none, as in tests.
+    Only a session that runs in one process may do without: it gets a temporary folder. On a cluster every
+    executor has its own temporary folder, so there the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="rowharvest-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -51,10 +55,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     columns, and it survives the loss of any executor.
     """
     path = scratch_path(df.sparkSession, name)
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append((df.sparkSession, path))
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_open = threading.local()
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Frees the space of all intermediates that are written inside the block, at its end.
+
+    For jobs that write their own result: what is read lazily after the block must not come from them.
+    """
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        written, _open.paths = _open.paths, outer
+        for spark, path in written:
+            spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 @contextmanager
 def gathered(df: DataFrame, key: str) -> Iterator[DataFrame]:
     """``df`` hash-partitioned by ``key`` once and cached, for the length of a ``with`` block.

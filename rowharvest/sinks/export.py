@@ -16,8 +16,6 @@ METADATA = (("Source URL", "sourceUrl", "source_url"), ("Captured At", "captured
             ("Batch ID", "batchId", "batch_id"), ("Fingerprint", "fingerprint", "fingerprint"))
 BOM = "\ufeff"
 CRLF = "\r\n"
-#: Largest export that is written as one file: the record cap of a session.
-SINGLE_FILE_ROWS = 100_000
 
 
 def metadata_text(df: DataFrame, column: str) -> Column:
@@ -45,21 +43,25 @@ def csv_line(df: DataFrame, fields: list[Field], metadata: bool = False) -> Colu
     return F.concat_ws(",", *[V.csv_safe(c) for c in cells])
 
 
-def write_csv(df: DataFrame, fields: list[Field], path: str, metadata: bool = False, single_file: bool = False) -> None:
-    """CSV with CRLF row ends; line breaks inside cells stay as they are.
+def write_csv(df: DataFrame, fields: list[Field], path: str, metadata: bool = False, single_file: bool = False,
+              order: str | None = None) -> None:
+    """CSV with CRLF row ends, in ``order`` if given; line breaks inside cells stay as they are.
 
-    Every part file starts with the header, so each can be opened by itself. A single file
-    also gets a byte order mark; it is refused for results beyond ``SINGLE_FILE_ROWS``.
+    Every part file starts with the header, so each can be opened by itself; a result without
+    rows is one file with the header. A single file also gets a byte order mark. It is sorted by many tasks and
+    streamed by the one that writes it, whatever its size.
     """
     header = csv_header(fields, metadata)
-    if single_file:
-        _require_small(df)
-        df = df.coalesce(1)
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-    opening = F.lit((BOM if single_file else "") + header + CRLF)
-    line = csv_line(df, fields, metadata)
-    df.select(F.when(first, F.concat(opening, line)).otherwise(line).alias("value")).write.mode("overwrite").option(
-        "lineSep", CRLF).text(path)
+    ordered = df.orderBy(order) if order else df
+    lines = ordered.select(csv_line(df, fields, metadata).alias("value"))
+    opening = F.lit((BOM if single_file else "") + header)
+    if df.isEmpty():
+        lines = df.sparkSession.range(1).coalesce(1).select(opening.alias("value"))
+    else:
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        lines = (lines.coalesce(1) if single_file else lines).select(
+            F.when(first, F.concat(opening, F.lit(CRLF), "value")).otherwise(F.col("value")).alias("value"))
+    lines.write.mode("overwrite").option("lineSep", CRLF).text(path)
 
 
 def json_object(df: DataFrame, fields: list[Field], metadata: bool = False) -> Column:
@@ -80,19 +82,20 @@ def json_object(df: DataFrame, fields: list[Field], metadata: bool = False) -> C
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def write_jsonl(df: DataFrame, fields: list[Field], path: str, metadata: bool = False) -> None:
-    df.select(json_object(df, fields, metadata).alias("value")).write.mode("overwrite").text(path)
+def write_jsonl(df: DataFrame, fields: list[Field], path: str, metadata: bool = False, order: str | None = None) -> None:
+    ordered = df.orderBy(order) if order else df
+    ordered.select(json_object(df, fields, metadata).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_json(df: DataFrame, fields: list[Field], path: str, order: str, metadata: bool = False) -> None:
-    """One JSON array in ``order``; for results of at most ``SINGLE_FILE_ROWS`` rows."""
-    _require_small(df)
-    rows = df.select(F.struct(F.col(order).alias("o"), json_object(df, fields, metadata).alias("j")).alias("r"))
-    whole = rows.agg(F.concat(F.lit("["), F.array_join(F.transform(
-        F.array_sort(F.collect_list("r")), lambda r: r["j"]), ",\n"), F.lit("]")).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+    """One JSON array in ``order``, a line for each record, in one file.
 
-
-def _require_small(df: DataFrame) -> None:
-    if df.limit(SINGLE_FILE_ROWS + 1).count() > SINGLE_FILE_ROWS:
-        raise ValueError(f"more than {SINGLE_FILE_ROWS} rows: write part files instead")
+    The rows are sorted by many tasks; the task that writes the file streams them, a row at a time.
+    """
+    n = df.count()
+    place = F.monotonically_increasing_id()
+    rows = df.orderBy(order).select(json_object(df, fields, metadata).alias("value")).coalesce(1).select(F.concat(
+        F.when(place == 0, "[").otherwise(","), "value", F.when(place == n - 1, "]").otherwise("")).alias("value"))
+    if n == 0:
+        rows = df.sparkSession.range(1).coalesce(1).select(F.lit("[]").alias("value"))
+    rows.write.mode("overwrite").text(path)

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from rowharvest.operators.records import last_batches
 from rowharvest.session import materialize
 
+#: Buckets of a store that is not told otherwise; a store keeps the number it was begun with.
 BUCKETS = 64
 
 
-def _bucket(session: Column) -> Column:
-    return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
+def _bucket(session: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(buckets)).cast("int")
 
 
 def _write(rows: DataFrame, path: str) -> None:
@@ -24,21 +25,21 @@ def _write(rows: DataFrame, path: str) -> None:
      .partitionBy("bucket", "batch_id").parquet(path))
 
 
-def append_batch(records: DataFrame, path: str) -> None:
+def append_batch(records: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Add batches. Writing the same batch again replaces it, so a retried job adds nothing twice.
 
     The rebalancing puts each bucket into few files and splits a bucket that holds much more
-    than the others.
+    than the others. Files are in order of the sessions, so one session is a few row groups of its bucket.
     """
-    bucketed = records.withColumn("bucket", _bucket(F.col("session_id")))
-    _write(bucketed.hint("rebalance", F.col("bucket")), path)
+    bucketed = records.withColumn("bucket", _bucket(F.col("session_id"), buckets))
+    _write(bucketed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "batch_id", "session_id"), path)
 
 
-def read_records(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
-    """Records of the store; for one session only the directories of its bucket are read."""
+def read_records(spark: SparkSession, path: str, session_id: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Records of the store; for one session only the directories of its bucket are read, and of them the row groups with it."""
     df = spark.read.option("basePath", path).parquet(path)
     if session_id is not None:
-        df = df.where((F.col("bucket") == _bucket(F.lit(session_id))) & (F.col("session_id") == session_id))
+        df = df.where((F.col("bucket") == _bucket(F.lit(session_id), buckets)) & (F.col("session_id") == session_id))
     return df.drop("bucket")
 
 
@@ -55,10 +56,10 @@ def _partition(name: str, value: str) -> str:
     return f"{name}=" + "".join(f"%{ord(c):02X}" if c in _SPECIAL else c for c in value)
 
 
-def _drop(spark: SparkSession, path: str, session_id: str, batches: list[str]) -> None:
+def _drop(spark: SparkSession, path: str, session_id: str, batches: list[str], buckets: int) -> None:
     """Remove a session's rows from some batches. Only their directories are touched: the rows of
     other sessions are set aside first and then replace the directories."""
-    bucket = spark.range(1).select(_bucket(F.lit(session_id))).first()[0]
+    bucket = spark.range(1).select(_bucket(F.lit(session_id), buckets)).first()[0]
     store = spark.read.option("basePath", path).parquet(path)
     kept = materialize(store.where((F.col("bucket") == bucket) & F.col("batch_id").isin(batches)
                                    & (F.col("session_id") != session_id)), "kept")
@@ -70,18 +71,18 @@ def _drop(spark: SparkSession, path: str, session_id: str, batches: list[str]) -
             _delete(spark, f"{path}/bucket={bucket}/{_partition('batch_id', batch)}")
 
 
-def undo_last_batch(spark: SparkSession, path: str, session_id: str) -> str | None:
+def undo_last_batch(spark: SparkSession, path: str, session_id: str, buckets: int = BUCKETS) -> str | None:
     """Drop the newest batch of a session and return its id."""
-    newest = last_batches(read_records(spark, path, session_id)).first()
+    newest = last_batches(read_records(spark, path, session_id, buckets)).first()
     if newest is None:
         return None
-    _drop(spark, path, session_id, [newest["batch_id"]])
+    _drop(spark, path, session_id, [newest["batch_id"]], buckets)
     return newest["batch_id"]
 
 
-def clear_session(spark: SparkSession, path: str, session_id: str) -> bool:
+def clear_session(spark: SparkSession, path: str, session_id: str, buckets: int = BUCKETS) -> bool:
     """Drop all records of a session; False if it has none."""
-    batches = [r["batch_id"] for r in read_records(spark, path, session_id).select("batch_id").distinct().collect()]
+    batches = [r["batch_id"] for r in read_records(spark, path, session_id, buckets).select("batch_id").distinct().collect()]
     if batches:
-        _drop(spark, path, session_id, batches)
+        _drop(spark, path, session_id, batches, buckets)
     return bool(batches)

@@ -49,7 +49,7 @@ SPACE = "\t\n\x0b\x0c\r \xa0"
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "chunks", "tree", "host", "hidden", "start", "end", "cells")
+    __slots__ = ("tag", "attrs", "parent", "children", "chunks", "tree", "host", "gone", "hidden", "start", "end", "cells")
 
     def __init__(self, tag, attrs, parent, tree, host=None):
         self.tag, self.attrs, self.parent, self.tree, self.host = tag, attrs, parent, tree, host
@@ -57,7 +57,8 @@ class _Node:
         self.cells = 0 if parent is None else parent.cells + (parent.tag in ("td", "th", "caption"))
         style = attrs.get("style", "").replace(" ", "").lower()
         own = tag in NOT_RENDERED or "hidden" in attrs or "display:none" in style or "visibility:hidden" in style
-        self.hidden = own or (parent is not None and parent.hidden and not parent.transparent) or self.transparent
+        self.gone = own or (parent is not None and parent.gone)  # hidden with all that is inside it
+        self.hidden = self.gone or self.transparent
         if parent is not None:
             parent.children.append(self)
 
@@ -231,6 +232,14 @@ class _Reader(HTMLParser):
             if table_part or self._in_scope(tag):
                 self._pop_to(tag)
 
+    def unknown_decl(self, data):
+        pass
+
+    def parse_marked_section(self, i, report=1):
+        """Marked sections mean nothing in HTML: skipped up to the next '>', like other bogus comments."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def handle_data(self, data):
         if self.inert:
             return
@@ -246,11 +255,21 @@ class _Reader(HTMLParser):
         node.chunks.append((data, len(node.children)))
 
 
+#: Attribute of the root element of a page that could not be read to its end.
+UNREAD = "data-unread"
+
+
 def _read(html: str) -> list[_Node]:
-    """All tree roots of a document; nested ``srcdoc`` documents are read in place."""
+    """All tree roots of a document; nested ``srcdoc`` documents are read in place.
+
+    A document that stops the reader keeps what was read before, and its root says so.
+    """
     reader = _Reader()
-    reader.feed(html)
-    reader.close()
+    try:
+        reader.feed(html)
+        reader.close()
+    except (AssertionError, ValueError, RecursionError) as stopped:
+        reader.trees[0].attrs[UNREAD] = f"{type(stopped).__name__}: {stopped}"[:200]
     roots = list(reader.trees)
     for mark in reader.marks:
         if mark[0] == "frame":

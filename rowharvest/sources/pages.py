@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rowharvest import schemas
 from rowharvest.functions import values as V
-from rowharvest.operators.skew import lookup_join
 
 # URLs that are never read, and hosts that call for care.
 RESTRICTED_URL = r"(?i)^(chrome|chrome-extension|edge|about|devtools|view-source):|^https?://chrome\.google\.com/webstore"
@@ -55,13 +54,13 @@ def blocked_hosts(pages: DataFrame, blocked: DataFrame) -> DataFrame:
     """
     hosts = pages.select("host").distinct()
     suffixes = hosts.select("host", F.explode(domain_suffixes(F.col("host"))).alias("domain"))
-    return lookup_join(suffixes, blocked.select(F.lower(F.trim("domain")).alias("domain")).distinct(), ["domain"],
+    return suffixes.join(blocked.select(F.lower(F.trim("domain")).alias("domain")).distinct(), ["domain"],
                        "left_semi").select("host").distinct()
 
 
 def drop_blocked(pages: DataFrame, blocked: DataFrame) -> DataFrame:
     """Pages whose host is not on the block list (``domain`` column)."""
-    return lookup_join(pages, blocked_hosts(pages, blocked), ["host"], "left_anti")
+    return pages.join(blocked_hosts(pages, blocked), ["host"], "left_anti")
 
 
 def page_titles(nodes: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def test_apply_plan_and_quality(wide):
     twice = Plan((PLAN.fields[0], PlanField("Advertiser Copy", "text", ("advertiser",))))
     copies, copy_fields = apply_plan(wide, twice, FIELDS, ["session_id"], "seq", ["session_id"])
     issues = evaluate_quality(copies, copy_fields, ["session_id"]).collect()
-    assert [i.issue for i in issues] == ["Advertiser and Advertiser Copy contain duplicate values."]
+    assert [i.issue for i in issues] == ["Advertiser = Advertiser Copy: nearly all values are equal"]
     one = Plan((PLAN.fields[0],))
     fixed = apply_plan(wide, one, FIELDS, ["session_id"], "seq", ["session_id"])
     assert choose_plan((copies, copy_fields), fixed, ["session_id"]).first()["chosen"] == "corrected"

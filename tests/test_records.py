@@ -44,8 +44,14 @@ def test_cap(rows, limit):
         seen[r["session_id"]] = seen.get(r["session_id"], 0) + 1
         if seen[r["session_id"]] <= limit:
             want.add(r["seq"])
-    assert {r.seq for r in records.cap_records(rows, ["session_id"], "seq", limit, 10).collect()} == want
-    assert {r.seq for r in records.cap_records_small(rows, ["session_id"], "seq", limit).collect()} == want
+    for range_rows in (10, 10**6):
+        assert {r.seq for r in records.cap(rows, ["session_id"], "seq", limit, range_rows).collect()} == want
+
+
+@pytest.mark.parametrize("limit", [900, 1500])
+def test_cap_keeps_exactly_the_limit_among_ties(spark, limit):
+    tied = spark.range(3000).select(F.lit("s").alias("session_id"), F.lit(7).alias("seq"), F.format_string("%05d", "id").alias("name"))
+    assert sorted(r.name for r in records.cap(tied, ["session_id"], "seq", limit).collect()) == [f"{i:05d}" for i in range(limit)]
 
 
 def test_ordered_index(rows):
@@ -60,15 +66,6 @@ def test_ordered_index(rows):
     assert {r.seq: r.idx for r in skew.ordered_index(timed, ["session_id"], "at", 100).collect()} == want
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join(spark, rows, how):
-    right = spark.createDataFrame([("hot", 1), ("s1", 2), ("zz", 3)], "session_id string, v int")
-    plain = rows.join(right, ["session_id"], how)
-    salted = skew.salted_join(rows, right, ["session_id"], how, rows=50, salts=7)
-    assert sorted(map(str, plain.select(sorted(plain.columns)).collect())) == sorted(
-        map(str, salted.select(sorted(salted.columns)).collect()))
-
-
 def test_batches_and_stats(spark, rows, tmp_path):
     stats = {r.session_id: r for r in records.capture_stats(rows, ["session_id"], max_records=50).collect()}
     b = brute(rows)

@@ -54,7 +54,7 @@ def test_capture_end_to_end(spark, states, tmp_path):
     assert names(stored.where(F.col("source_url").endswith("beta"))) == [(BASE + "/v#beta", n) for n in "ABC"]
     assert stored.groupBy("session_id").count().agg(F.max("count")).first()[0] == 7
     totals = C.stream_stats(C.read_stream_table(spark, d["store"], stored.schema), ["session_id"])
-    C.run_available(C.write_changes(totals, d["totals"], d["ck4"]))
+    C.run_available(C.write_changes(totals, d["totals"], d["ck4"], ["session_id"]))
     assert sorted(r.n for r in C.latest_totals(spark, d["totals"], ["session_id"]).collect()) == [3, 7]
 
 
