@@ -156,27 +156,83 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / total) if total else 0.0
 
 
+def elements(values: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A multiset of shingles as a set: the n-th occurrence of a shingle is an element of its own."""
+    if (times == 1).all():
+        return values
+    each = np.repeat(values, times)
+    nth = np.arange(len(each)) - np.repeat(np.concatenate(([0], np.cumsum(times)[:-1])), times)
+    return np.where(nth > 0, K.mix(each ^ (nth.astype(np.uint64) * np.uint64(K.BASE))), each)
+
+
+class Block:
+    """Some texts of one band: ids, components, band keys, and their shingles with weights, one after the other."""
+
+    def __init__(self, texts: list[dict]):
+        joined = lambda name, kind: np.frombuffer(b"".join(t[name] for t in texts), kind)
+        self.ids, self.components = (np.array([t[c] for t in texts], np.int64) for c in ("text_id", "component"))
+        self.keys = np.array([t["bands"] for t in texts], np.int64).view(np.uint64)
+        self.values, self.weights = joined("elements", np.uint64), joined("weights", np.float64)
+        self.owner = np.repeat(np.arange(len(texts)), [len(t["elements"]) // 8 for t in texts])
+        self.totals = np.bincount(self.owner, weights=self.weights, minlength=len(texts))
+
+    def shared_weight(self, other: Block, step: int = 4096) -> np.ndarray:
+        """Weight that each text here and each text there have in common: a product of indicator matrices, by columns
+        of the elements that both blocks have."""
+        common = np.intersect1d(self.values, other.values)
+        out = np.zeros((len(self.ids), len(other.ids)))
+        for at in range(0, len(common), step):
+            part = common[at:at + step]
+            sides = []
+            for block in (self, other):
+                place = np.minimum(np.searchsorted(part, block.values), len(part) - 1)
+                hit = part[place] == block.values
+                matrix = np.zeros((len(block.ids), len(part)))
+                matrix[block.owner[hit], place[hit]] = block.weights[hit] if block is self else 1.0
+                sides.append(matrix)
+            if self is other:
+                sides[1] = (sides[0] > 0).astype(float)
+            out += sides[0] @ sides[1].T
+        return out
+
+
+def compare(x: Block, y: Block, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the linked pairs of different components, each pair in the first band that its texts share."""
+    wanted = x.components[:, None] != y.components[None, :]
+    if x is y:
+        wanted &= np.arange(len(x.ids))[:, None] < np.arange(len(y.ids))[None, :]
+    for k in range(int(np.flatnonzero(x.keys[0] == np.uint64(band))[0])):
+        wanted &= x.keys[:, k][:, None] != y.keys[:, k][None, :]
+    if not wanted.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    shared = x.shared_weight(y)
+    return np.nonzero(wanted & (shared >= threshold * (x.totals[:, None] + y.totals[None, :] - shared)))
+
+
+#: Shingles of one block of a band.
+BLOCK_SHINGLES = 16_384
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, common_share: float = 0.02, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, text_id, n_links): near-duplicate classes of the documents, one row per row of ``docs``.
+    """(doc_id, class_id, text_id): near-duplicate classes of the documents, one row per row of ``docs``.
 
     Documents with the same multiset of shingles are one text; text_id is its least doc_id. Two texts are
     linked if the weighted Jaccard similarity of their TF-IDF shingles is ``threshold`` or more; class_id is
-    the least doc_id that links reach, n_links the number of links verified for the text. Shingles are five words (the whole
-    text, if it has fewer), words runs of letters, digits and non-ASCII bytes, A-Z lower-cased.
+    the least doc_id that links reach. Shingles are five words (the whole text, if it has fewer), words
+    runs of letters, digits and non-ASCII bytes, A-Z lower-cased.
 
     Candidates are texts that agree in a band of samples. They are verified in two steps: every text against
-    the least text of each of its bands; then, after components of those links are known, all pairs of a band
-    whose texts are in different components. So no link between components is lost, and a group of
-    copies, however large, costs one comparison per text and band, not all pairs.
+    the least text of each of its bands; then, with the components of those links known, the pairs of a band
+    whose texts are in different components, so no link between components is lost. The second step deals each such
+    band into blocks of bounded size and compares block with block as matrices: no pair is a row, only links are.
 
-    Texts without a word (null, empty) are each in a class of their own. Rows that repeat an id are answered
-    by the least class of their texts. Ids must not be null: such rows are left out.
+    Texts without a word (null, empty) are each in a class of their own. Ids are whole numbers. Rows that repeat an id are
+    answered by the least class of their texts; rows with a null id are left out.
     Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     weigh = spark.sparkContext.broadcast(Weights(*frequent_shingles(narrow, common_share, "text"), common_share))
 
     def sign(batches):
@@ -189,63 +245,86 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, common_share: fl
                     tags.append(np.add.reduceat(marks, np.searchsorted(rows, have)) if len(have) else np.empty(0, np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(have + first)), pa.array(K.signed(tags[0])), pa.array(K.signed(tags[1])),
+                     pa.array(np.bincount(rows, minlength=n)[have]),
                      pa.FixedSizeListArray.from_arrays(pa.array(K.signed(keys.reshape(-1))), BANDS).cast(pa.list_(pa.int64()))],
-                    names=["doc_id", "t1", "t2", "bands"])
+                    names=["doc_id", "t1", "t2", "size", "bands"])
 
-    signed = stored(narrow.mapInArrow(sign, f"doc_id {kind}, t1 long, t2 long, bands array<long>"), "signatures")
-    texts = stored(signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("text_id"), F.min("bands").alias("bands")), "texts")
-    members = texts.select("text_id", F.explode("bands").alias("band"))
+    signed = stored(narrow.mapInArrow(sign, "doc_id long, t1 long, t2 long, size long, bands array<long>"), "signatures")
+    texts = stored(signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("text_id"), F.min("bands").alias("bands"), F.min("size").alias("size")), "texts")
+    members = texts.select("text_id", "size", "bands", F.explode("bands").alias("band"))
     leaders = members.groupBy("band").agg(F.min("text_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
-    # several equal ids (repeated rows with different texts) may lead different texts: verified by id, not by row
-    bands = stored(members.join(leaders, "band").select("band", "leader", "text_id"), "bands")
+    bands = stored(members.join(leaders, "band").select("band", "leader", "text_id", "size", "bands"), "bands")
     first = bands.where("text_id <> leader").select(F.col("leader").alias("a"), F.col("text_id").alias("b")).distinct()
+    # Texts are joined by sorting at every size: their bytes, not the ids they are chosen by, are what moves.
     involved = bands.select("text_id").distinct()
-    involved = stored(narrow.join(involved, narrow.doc_id == involved.text_id, "left_semi"), "candidate-texts")
+    involved = stored(narrow.join(involved.hint("merge"), narrow.doc_id == involved.text_id, "left_semi"), "candidate-texts")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        def check(batches):
-            weights = weigh.value
-            held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    def verify(batches):
+        weights = weigh.value
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-            def parsed(text):
-                if text not in held:
-                    if len(held) > 200:
-                        held.clear()
-                    values, times = [x for _, _, *x, _ in doc_shingles(pa.array([text], pa.large_string()))][0]
-                    held[text] = values, weights(values, times)
-                return held[text]
+        def parsed(text):
+            if text not in held:
+                if len(held) > 200:
+                    held.clear()
+                values, times = [x for _, _, *x, _ in doc_shingles(pa.array([text], pa.large_string()))][0]
+                held[text] = values, weights(values, times)
+            return held[text]
+
+        for batch in batches:
+            left, right = batch.column("left_text").to_pylist(), batch.column("right_text").to_pylist()
+            keep = pa.array(np.array([similarity(parsed(x), parsed(y)) >= threshold for x, y in zip(left, right)], bool))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+    left = involved.select(F.col("doc_id").alias("a"), F.col("text").alias("left_text"))
+    right = involved.select(F.col("doc_id").alias("b"), F.col("text").alias("right_text"))
+    links = stored(first.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left_text", "right_text").mapInArrow(
+        verify, "a long, b long"), "links-to-leaders")
 
-            for batch in batches:
-                left, right = batch.column("left_text").to_pylist(), batch.column("right_text").to_pylist()
-                value = np.array([similarity(parsed(x), parsed(y)) for x, y in zip(left, right)])
-                keep = pa.array(np.flatnonzero(value >= threshold))
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep), pa.array(value).take(keep)],
-                                                 names=["a", "b", "similarity"])
-
-        left = involved.select(F.col("doc_id").alias("a"), F.col("text").alias("left_text"))
-        right = involved.select(F.col("doc_id").alias("b"), F.col("text").alias("right_text"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "left_text", "right_text").mapInArrow(
-            check, f"a {kind}, b {kind}, similarity double")
-
-    links = stored(verify(first), "links-to-leaders")
     known = connected_components(links)
-    placed = bands.join(known, bands.text_id == known.node, "left").select("band", "text_id", F.coalesce("component", "text_id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    open_ = stored(placed.join(mixed, "band"), "open-bands")
-    pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component"))
-                                  & (F.col("x.text_id") < F.col("y.text_id"))).select(
-        F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = stored(links.unionAll(verify(pairs)), "links")
+    placed = stored(bands.join(known, bands.text_id == known.node, "left").select(
+        "band", "text_id", "size", "bands", F.coalesce("component", "text_id").alias("component")), "placed-bands")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("size").alias("total")).where(
+        "low < high").select("band", F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks"))
+    open_ = placed.join(mixed, "band").select("band", "text_id", "component", "bands", F.pmod(F.xxhash64("text_id"), "blocks").alias("block"))
+    asked = open_.select("text_id").distinct()
+
+    def parse(batches):
+        for batch in batches:
+            ids, done = batch.column("doc_id"), []
+            for at, n, values, times, rows in doc_shingles(batch.column("text")):
+                bounds = np.searchsorted(rows, np.arange(n + 1))
+                for k in range(n):
+                    own, many = values[bounds[k]:bounds[k + 1]], times[bounds[k]:bounds[k + 1]]
+                    done.append((elements(own, many).tobytes(), np.repeat(weigh.value(own, np.ones(len(own))), many).tobytes()))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array([d[k] for d in done], pa.binary()) for k in (0, 1)]], names=["doc_id", "elements", "weights"])
+
+    parsed = involved.join(asked.hint("merge"), involved.doc_id == asked.text_id, "left_semi").mapInArrow(
+        parse, "doc_id long, elements binary, weights binary")
+    # A repeated id has one of its texts here; the others are answered by their own classes.
+    parsed = stored(parsed.groupBy("doc_id").agg(F.min_by(F.struct("elements", "weights"), F.xxhash64("elements")).alias("p")).select("doc_id", "p.*"), "parsed-texts")
+    packed = stored(open_.join(parsed.hint("merge"), open_.text_id == parsed.doc_id).groupBy("band", "block").agg(
+        F.collect_list(F.struct("text_id", "component", "bands", "elements", "weights")).alias("texts")), "packed-bands")  # of bounded size
+    blocks = packed.select("band", "block")
+    tasks = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "band").where("x <= y")
+    side = lambda name, at: packed.select("band", F.col("block").alias(at), F.col("texts").alias(name))
+    tasks = tasks.join(side("left", "x").hint("merge"), ["band", "x"]).join(side("right", "y").hint("merge"), ["band", "y"])
+
+    def link_blocks(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                x = Block(row["left"])
+                y = x if row["x"] == row["y"] else Block(row["right"])
+                a, b = compare(x, y, row["band"] % 2**64, threshold)
+                yield pa.RecordBatch.from_pydict({"a": x.ids[a], "b": y.ids[b]})
+
+    links = stored(links.unionAll(tasks.mapInArrow(link_blocks, "a long, b long")), "links")
     classes = connected_components(links)
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    by_text = texts.join(classes, texts.text_id == classes.node, "left").select(
-        "t1", "t2", "text_id", F.coalesce("component", "text_id").alias("class_id")).join(
-        degree, F.col("text_id") == degree.node, "left").select("t1", "t2", "text_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    answered = signed.select("doc_id", "t1", "t2").join(by_text, ["t1", "t2"]).groupBy("doc_id").agg(
-        F.min(F.struct("class_id", "text_id", "n_links")).alias("x"))
-    return narrow.select("doc_id").alias("d").join(answered.alias("s"), "doc_id", "left").select(
-        "doc_id", F.coalesce("x.class_id", "doc_id").alias("class_id"), F.coalesce("x.text_id", "doc_id").alias("text_id"),
-        F.coalesce("x.n_links", F.lit(0)).cast("long").alias("n_links"))
+    by_text = texts.join(classes, texts.text_id == classes.node, "left").select("t1", "t2", "text_id", F.coalesce("component", "text_id").alias("class_id"))
+    answered = signed.select("doc_id", "t1", "t2").join(by_text, ["t1", "t2"]).groupBy("doc_id").agg(F.min(F.struct("class_id", "text_id")).alias("x"))
+    return narrow.select("doc_id").join(answered, "doc_id", "left").select(
+        "doc_id", F.coalesce("x.class_id", "doc_id").alias("class_id"), F.coalesce("x.text_id", "doc_id").alias("text_id"))
 
 
 def keep_first_of_class(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
