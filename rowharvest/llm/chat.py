@@ -95,8 +95,7 @@ def reply_paths(messages: DataFrame, *, key: str = "conv_id", id_col: str = "id"
     walk = leaves.select("key", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("height"))
     for k in range(len(tables) - 1, -1, -1):
         jump = walk.join(tables[k], ["key", "id"]).select("key", "leaf", F.col("up").alias("id"), (F.col("height") + 2 ** k).alias("height"))
-        walk = walk.unionAll(jump)
-    walk = stored(walk, "paths")
+        walk = stored(walk.unionAll(jump), "paths")  # else every round would compute all rounds before it twice
     scored = walk.join(nodes.select("key", "id", "own"), ["key", "id"]).groupBy("key", "leaf").agg(
         F.sum("own").alias("score"), F.max("height").alias("top"))
     if best == 1:  # needs no sorting of a tree's leaves
