@@ -131,8 +131,9 @@ class SmallWorld:
         return entries
 
     def _beam(self, graph: np.ndarray, queries: np.ndarray, entries: np.ndarray, width: int, size: int, seen: np.ndarray | None = None,
-              step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` most similar nodes met from ``entries``, expanding the best open ones first."""
+              step: int = 4, floor: float = 9.0, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``width`` most similar nodes met from ``entries``, expanding the best open ones first. All nodes met with a
+        similarity of ``floor`` or more go to ``met``, also those that a full beam has no place for."""
         n = len(queries)
         seen = np.zeros((n, size), bool) if seen is None else seen
         ids = np.full((n, width), -1, np.int64)
@@ -159,6 +160,9 @@ class SmallWorld:
             seen[active[r], near[r, c]] = True
             values = np.full(near.shape, -2, np.float32)
             values[r, c] = np.einsum("nd,nd->n", queries[active[r]], self.vectors[near[r, c]])
+            if met is not None:
+                r, c = np.nonzero(values >= floor)
+                met.append((active[r], near[r, c], values[r, c]))
             all_ids, all_sims = np.concatenate([ids[active], near], 1), np.concatenate([sims[active], values], 1)
             all_open = np.concatenate([open_[active], near >= 0], 1)
             new_ids, new_sims, order = _top(all_ids, all_sims, width)
@@ -167,14 +171,20 @@ class SmallWorld:
             active = active[open_[active].any(axis=1)]
         return ids, sims
 
-    def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def within(self, queries: np.ndarray, least: float, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, place) of nodes found with a similarity of ``least`` or more: a beam search, then every node that is
-        (nearly) similar enough is expanded too, so the beam is as wide as a query's group."""
+        (nearly) similar enough is expanded too, so the beam is as wide as a query's group. Queries that are nodes
+        themselves (at ``own``) also begin at their own place, where their neighbours are."""
         size = self.sizes[0]
         seen = np.zeros((len(queries), size), bool)
-        ids, sims = self._beam(self.graphs[0], queries, self._descend(queries), beam, size, seen)
-        q, c = np.nonzero(sims >= least - SLACK)
-        node, value = ids[q, c], sims[q, c]
+        entries = self._descend(queries)
+        if own is not None:
+            entries = np.concatenate([own[:, None], np.where(entries == own[:, None], -1, entries)], axis=1)
+        met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        ids, sims = self._beam(self.graphs[0], queries, entries, beam, size, seen, floor=least - SLACK, met=met)
+        at, c = np.nonzero((sims >= least - SLACK) & (ids >= 0) & (ids[:, :, None] == entries[:, None, :]).any(axis=2))
+        met.append((at, ids[at, c], sims[at, c]))  # entry points that stayed
+        q, node, value = (np.concatenate(x) for x in zip(*met))
         found_q, found_n, found_v = [q], [node], [value]
         while len(q):
             near = self.graphs[0][node].astype(np.int64)
@@ -194,18 +204,21 @@ class SmallWorld:
             found_v.append(value)
         q, node, value = np.concatenate(found_q), np.concatenate(found_n), np.concatenate(found_v)
         keep = value >= least
-        return q[keep], node[keep]
+        pairs = np.unique(q[keep] * size + node[keep])
+        return pairs // size, pairs % size
 
 
-def audited(world: SmallWorld, queries: np.ndarray, least: float, recall: float, beam: int, audit: int) -> tuple[np.ndarray, np.ndarray]:
-    """``SmallWorld.within`` with a beam that is doubled until, on evenly spaced queries compared with all vectors of the
-    shard, at least ``recall`` of the true neighbours are found. A beam as wide as the shard is a scan of it."""
+def audited(world: SmallWorld, queries: np.ndarray, least: float, recall: float, beam: int, audit: int,
+            own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``SmallWorld.within`` with a beam that is widened until, on evenly spaced queries compared with all vectors of the
+    shard, at least ``recall`` of the true neighbours are found. A beam of more than a sixteenth of the shard would cost
+    more than looking at all of it, so from there on the shard is scanned."""
     sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
     true = np.zeros((len(sample), len(world.vectors)), bool)
     for at in range(0, len(sample), 64):
         true[at:at + 64] = queries[sample[at:at + 64]] @ world.vectors.T >= least
-    while beam < len(world.vectors):
-        parts = [world.within(queries[at:at + 512], least, beam) for at in range(0, len(queries), 512)]
+    while beam <= max(256, len(world.vectors) // 16):
+        parts = [world.within(queries[at:at + 512], least, beam, None if own is None else own[at:at + 512]) for at in range(0, len(queries), 512)]
         q = np.concatenate([part[0] + 512 * i for i, part in enumerate(parts)])
         node = np.concatenate([part[1] for part in parts])
         got = np.zeros_like(true)
@@ -214,7 +227,7 @@ def audited(world: SmallWorld, queries: np.ndarray, least: float, recall: float,
         got[row[mine], node[mine]] = True
         if (got & true).sum() >= recall * true.sum():
             return q, node
-        beam *= 2
+        beam *= 4
     parts = [np.nonzero(queries[at:at + 512] @ world.vectors.T >= least) for at in range(0, len(queries), 512)]
     return np.concatenate([part[0] + 512 * i for i, part in enumerate(parts)]), np.concatenate([part[1] for part in parts])
 
@@ -228,7 +241,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
-def embedding_links(vectors: DataFrame, *, least: float = 0.93, recall: float = 0.999, shard_rows: int = 16_384, shard_bytes: int = 64 << 20,
+def embedding_links(vectors: DataFrame, *, least: float = 0.93, recall: float = 0.99, shard_rows: int = 16_384, shard_bytes: int = 64 << 20,
                     block_rows: int = 2_048, beam: int = 32, audit: int = 256, id_col: str = "vec_id", vector_col: str = "embedding",
                     label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id): links of cosine ``least`` or more between vectors of one label, one row per vector.
@@ -289,7 +302,11 @@ def embedding_links(vectors: DataFrame, *, least: float = 0.93, recall: float =
                 raw, asked = floats(row["vectors"]), floats(row["q_vectors"])
                 world = SmallWorld(np.arange(len(raw)), _unit(raw), row["sizes"],
                                    [np.frombuffer(g, np.int32).reshape(size, -1) for g, size in zip(row["graphs"], row["sizes"])])
-                q, node = audited(world, _unit(asked), least - 1e-4, recall, beam, audit)
+                own = None
+                if row["from"] == row["shard"]:
+                    order = np.argsort(longs(row["ids"]), kind="stable")
+                    own = order[np.searchsorted(longs(row["ids"])[order], longs(row["q_ids"]))]
+                q, node = audited(world, _unit(asked), least - 1e-4, recall, beam, audit, own)
                 a, b = longs(row["q_ids"])[q], longs(row["ids"])[node]
                 keep = np.zeros(len(q), bool)
                 for at in range(0, len(q), 65_536):
