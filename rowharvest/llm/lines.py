@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowharvest.llm.common import stored
+
 #: White space stripped from both ends of a line before it is compared.
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -32,8 +34,8 @@ def _cut(docs: DataFrame, min_documents: int, min_chars: int, id_col: str, text_
     ident, text = F.col("row").getField(id_col), F.coalesce(F.col("row").getField(text_col), F.lit(""))
     keyed = lambda key: (F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))  # noqa: E731  two independent hashes
     distinct = row.select(F.explode(F.array_distinct(line_keys(text))).alias("key")).where(long_enough(F.col("key"), min_chars))
-    frequent = distinct.select(*keyed(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n")).where(
-        F.col("n") >= min_documents).select("h1", "h2")
+    frequent = stored(distinct.select(*keyed(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n")).where(
+        F.col("n") >= min_documents).select("h1", "h2"), "frequent-lines")
     lines = row.select(ident.alias("ident"), F.xxhash64(text).alias("tag"), F.posexplode(line_keys(text)).alias("pos", "key")).where(
         long_enough(F.col("key"), min_chars)).select("ident", "tag", "pos", *keyed(F.col("key")))
     dropped = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("ident", "tag").agg(F.collect_set("pos").alias("dropped"))
@@ -54,8 +56,8 @@ def line_dedup(docs: DataFrame, *, min_documents: int = 10, min_chars: int = 1,
     others stay in order, joined by a line feed. kept is '' when all lines go.
 
     Counts need one row per document and distinct key, pre-aggregated before the shuffle. Marking joins
-    lines (hashes only, no text) with the frequent keys; a very common line is a skewed join, which
-    adaptive execution splits. The dropped positions of a document meet its text in one join, and the
+    lines (hashes only, no text) with the frequent keys, which are written first: a very common line then is
+    a skewed join of two plain tables, which adaptive execution splits. The dropped positions of a document meet its text in one join, and the
     text is taken apart and put together inside its row, in time proportional to its lines.
 
     A null text is one empty line. Every row is a document: rows that repeat an id are counted, cut and
