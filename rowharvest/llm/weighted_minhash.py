@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rowharvest.llm import kernel as K
 from rowharvest.llm.common import connected_components, stored
+from rowharvest.llm.trie_lm import _borders, _pack, _pack_sorted, _unpack, _unpack_sorted, blocks_of
 
 SHINGLE = 5
 #: Documents of similarity 0.8 meet in a band with probability 0.991, of 0.85 with 0.999, of 0.9 with 0.99998.
@@ -32,64 +33,52 @@ def doc_shingles(column: pa.Array, slice_bytes: int = 1 << 20) -> Iterator[tuple
         yield first, stop - first, values[at], np.diff(np.append(at, len(values))), rows[at]
 
 
-def frequent_shingles(docs: DataFrame, share: float, text_col: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(documents, shingles in at least ``share`` of them, exact document counts of those).
+def block_texts(row: dict) -> pa.Array:
+    """The texts of one row of ``blocks_of``."""
+    sizes, size = _unpack(row["sizes"], np.int64), int.from_bytes(row["text"][:8], "little")
+    data = pa.decompress(row["text"][8:], decompressed_size=size, codec="zstd") if size else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).tobytes()), data)
 
-    Such a shingle is that frequent in at least one Arrow batch, so the first pass collects what is frequent
-    in some batch, and the second counts exactly those over all documents. The result has at most
-    (mean shingles of a document) / share entries, whatever the size of the table.
+
+def row_numbers(block: int, places: np.ndarray) -> np.ndarray:
+    """A number of their own for rows of a block of ``blocks_of``: 23 bits of partition, 20 of block, 20 of place."""
+    partition, nth = block >> 32, block & 0xFFFFFFFF
+    if partition >> 23 or nth >> 20 or (len(places) and int(places[-1]) >> 20):
+        raise ValueError("more than 2**23 partitions, 2**20 blocks of a partition or 2**20 rows of a block")
+    return places.astype(np.int64) | nth << 20 | partition << 40
+
+
+def document_counts(blocks: DataFrame, shards: int) -> DataFrame:
+    """(block, shard, counts): in how many rows of all blocks each distinct shingle of a block is, in ascending order.
+
+    A block sends each of its distinct shingles once, sorted and packed, to the shard of its hash range, so a shingle
+    of very many documents is no more entries in a shard than there are blocks. Nothing is broadcast.
     """
-    spark, texts = docs.sparkSession, docs.select(F.col(text_col).alias("text"))
 
-    def local(batches):
+    def send(batches):
         for batch in batches:
-            found = [values for _, _, values, _, _ in doc_shingles(batch.column("text"))]
-            values, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, int))
-            yield pa.RecordBatch.from_pydict({"h": K.signed(values[n >= share * batch.num_rows])}, schema=pa.schema([("h", pa.int64())]))
-
-    candidates = stored(texts.mapInArrow(local, "h long").distinct(), "shingle-candidates")
-    total, slices = docs.count(), max(1, math.ceil(candidates.count() / 2_000_000))
-    found, counts = [], []
-    for part in range(slices):  # usually one; more keep what is broadcast within 16 MB
-        own = candidates.where(F.pmod("h", F.lit(slices)) == part).toArrow().column("h").to_numpy()
-        shared = spark.sparkContext.broadcast(np.sort(own.view(np.uint64)))
-
-        def count(batches, shared=shared):
-            wanted = shared.value
-            n = np.zeros(len(wanted), np.int64)
-            for batch in batches:
-                for _, _, values, _, _ in doc_shingles(batch.column("text")):
-                    at = np.minimum(np.searchsorted(wanted, values), max(0, len(wanted) - 1))
-                    n += np.bincount(at[wanted[at] == values] if len(wanted) else [], minlength=len(wanted)).astype(np.int64)
-            seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"h": K.signed(wanted[seen]), "n": n[seen]})
-
-        rows = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= share * total).toArrow()
-        found.append(rows.column("h").to_numpy().view(np.uint64))
-        counts.append(rows.column("n").to_numpy())
-    found, counts = np.concatenate(found), np.concatenate(counts)
-    order = np.argsort(found)
-    return total, found[order], counts[order]
-
-
-class Weights:
-    """Weight of a shingle: times it occurs, by 1 + ln(documents / documents that have it).
-
-    Shingles in under ``share`` of the documents all count as rare (as if in just that share), so the
-    weight of the rest is known from a table of bounded size.
-    """
+            for row in batch.to_pylist():
+                found = [values for _, _, values, _, _ in doc_shingles(block_texts(row))]
+                values, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, int))
+                bounds = np.searchsorted(values, _borders(shards))
+                yield pa.RecordBatch.from_pydict({
+                    "block": [row["block"]] * shards, "shard": np.arange(shards), "shingles": [_pack_sorted(x) for x in np.split(values, bounds)],
+                    "counts": [_pack(x) for x in np.split(n.astype(np.uint32), bounds)]})
+
+    def count(table: pa.Table) -> pa.Table:
+        lists = [_unpack_sorted(x) for x in table.column("shingles").to_pylist()]
+        distinct, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+        sums = np.bincount(inverse, weights=np.concatenate([_unpack(x, np.uint32) for x in table.column("counts").to_pylist()]), minlength=len(distinct))
+        answers = np.split(sums[inverse].astype(np.int64), np.cumsum([len(x) for x in lists])[:-1])
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "counts": pa.array([_pack(x) for x in answers], pa.binary())})
 
-    def __init__(self, total: int, found: np.ndarray, counts: np.ndarray, share: float):
-        self.found, self.rare = found, 1 + math.log(1 / share)
-        self.idf = 1 + np.log(max(total, 1) / np.maximum(counts, 1))
+    return blocks.select("block", "sizes", "text").mapInArrow(send, "block long, shard long, shingles binary, counts binary").groupBy("shard").applyInArrow(
+        count, "block long, shard long, counts binary")
 
-    def __call__(self, values: np.ndarray, times: np.ndarray) -> np.ndarray:
-        weights = np.full(len(values), self.rare)
-        if len(self.found):
-            at = np.minimum(np.searchsorted(self.found, values), len(self.found) - 1)
-            hit = self.found[at] == values
-            weights[hit] = self.idf[at[hit]]
-        return weights * times
+
+def idf(total: int, seen: np.ndarray) -> np.ndarray:
+    """Weight of one occurrence of a shingle: 1 + ln(documents / documents that have it)."""
+    return 1 + np.log(total / seen)
 
 
 @lru_cache(maxsize=1)
@@ -170,7 +159,7 @@ class Block:
 
     def __init__(self, texts: list[dict]):
         joined = lambda name, kind: np.frombuffer(b"".join(t[name] for t in texts), kind)
-        self.ids, self.components = (np.array([t[c] for t in texts], np.int64) for c in ("text_id", "component"))
+        self.ids, self.components = (np.array([t[c] for t in texts], np.int64) for c in ("node", "component"))
         self.keys = np.array([t["bands"] for t in texts], np.int64).view(np.uint64)
         self.values, self.weights = joined("elements", np.uint64), joined("weights", np.float64)
         self.owner = np.repeat(np.arange(len(texts)), [len(t["elements"]) // 8 for t in texts])
@@ -211,16 +200,19 @@ def compare(x: Block, y: Block, band: int, threshold: float) -> tuple[np.ndarray
 
 #: Shingles of one block of a band.
 BLOCK_SHINGLES = 16_384
+#: Text of one block of documents, and compressed text whose shingles are counted in one shard.
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 3 << 20
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, common_share: float = 0.02, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+                    block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, class_id, text_id): near-duplicate classes of the documents, one row per row of ``docs``.
 
     Documents with the same multiset of shingles are one text; text_id is its least doc_id. Two texts are
     linked if the weighted Jaccard similarity of their TF-IDF shingles is ``threshold`` or more; class_id is
     the least doc_id that links reach. Shingles are five words (the whole text, if it has fewer), words
-    runs of letters, digits and non-ASCII bytes, A-Z lower-cased.
+    runs of letters, digits and non-ASCII bytes, A-Z lower-cased. Every shingle weighs by the number of documents that
+    have it, however few or many: each block of texts asks the shards of ``document_counts`` for its own.
 
     Candidates are texts that agree in a band of samples. They are verified in two steps: every text against
     the least text of each of its bands; then, with the components of those links known, the pairs of a band
@@ -231,80 +223,97 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, common_share: fl
     answered by the least class of their texts; rows with a null id are left out.
     Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    weigh = spark.sparkContext.broadcast(Weights(*frequent_shingles(narrow, common_share, "text"), common_share))
-
+    blocks = blocks_of(narrow, F.lit(False), "doc_id", "text", block_bytes)
+    total, size = blocks.agg(F.sum(F.size("doc_ids")), F.sum(F.length("text"))).first()
+    shards = max(1, math.ceil((size or 0) / shard_bytes))
+    answers = document_counts(blocks, shards).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("answers"))
     def sign(batches):
         for batch in batches:
-            for first, n, values, times, rows in doc_shingles(batch.column("text")):
-                have, keys = signatures(values, weigh.value(values, times), rows, n)
-                tags = []
-                for salt in (3, 5):  # the multiset as a sum of mixed hashes
-                    marks = K.mix(values ^ np.uint64(salt * K.BASE % 2**64)) * (2 * times - 1).astype(np.uint64)
-                    tags.append(np.add.reduceat(marks, np.searchsorted(rows, have)) if len(have) else np.empty(0, np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(have + first)), pa.array(K.signed(tags[0])), pa.array(K.signed(tags[1])),
-                     pa.array(np.bincount(rows, minlength=n)[have]),
-                     pa.FixedSizeListArray.from_arrays(pa.array(K.signed(keys.reshape(-1))), BANDS).cast(pa.list_(pa.int64()))],
-                    names=["doc_id", "t1", "t2", "size", "bands"])
-
-    signed = stored(narrow.mapInArrow(sign, "doc_id long, t1 long, t2 long, size long, bands array<long>"), "signatures")
-    texts = stored(signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("text_id"), F.min("bands").alias("bands"), F.min("size").alias("size")), "texts")
-    members = texts.select("text_id", "size", "bands", F.explode("bands").alias("band"))
-    leaders = members.groupBy("band").agg(F.min("text_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
-    bands = stored(members.join(leaders, "band").select("band", "leader", "text_id", "size", "bands"), "bands")
-    first = bands.where("text_id <> leader").select(F.col("leader").alias("a"), F.col("text_id").alias("b")).distinct()
+            for block in batch.to_pylist():
+                answered = np.concatenate([_unpack(x["counts"], np.int64) for x in block["answers"]])
+                found = list(doc_shingles(block_texts(block)))
+                distinct = np.unique(np.concatenate([values for _, _, values, _, _ in found])) if found else np.empty(0, np.uint64)
+                for first, n, values, times, rows in found:
+                    seen = answered[np.searchsorted(distinct, values)]
+                    have, keys = signatures(values, idf(total, seen) * times, rows, n)
+                    tags, bounds = [], np.searchsorted(rows, have)
+                    for salt in (3, 5):  # the multiset as a sum of mixed hashes
+                        marks = K.mix(values ^ np.uint64(salt * K.BASE % 2**64)) * (2 * times - 1).astype(np.uint64)
+                        tags.append(np.add.reduceat(marks, bounds) if len(have) else np.empty(0, np.uint64))
+                    ids, held = block["doc_ids"], have + first
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[i] for i in held], pa.int64()), pa.array(row_numbers(block["block"], held)), pa.array(K.signed(tags[0])), pa.array(K.signed(tags[1])),
+                         pa.array(np.bincount(rows, minlength=n)[have]),
+                         pa.FixedSizeListArray.from_arrays(pa.array(K.signed(keys.reshape(-1))), BANDS).cast(pa.list_(pa.int64())),
+                         pa.array([_pack(x) for x in np.split(seen, bounds[1:])] if len(have) else [], pa.binary())],
+                        names=["doc_id", "row", "t1", "t2", "size", "bands", "seen"])
+
+    signed = stored(blocks.select("block", "doc_ids", "sizes", "text").join(answers, "block").mapInArrow(
+        sign, "doc_id long, row long, t1 long, t2 long, size long, bands array<long>, seen binary"), "signatures")
+    texts = stored(signed.groupBy("t1", "t2").agg(F.min("row").alias("node"), F.min("doc_id").alias("text_id"), F.min("bands").alias("bands"),
+                                                  F.min("size").alias("size")), "texts")
+    members = texts.select("node", "size", F.explode("bands").alias("band"))
+    leaders = members.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
+    bands = stored(members.join(leaders, "band").select("band", "leader", "node", "size"), "bands")
+    first = bands.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     # Texts are joined by sorting at every size: their bytes, not the ids they are chosen by, are what moves.
-    involved = bands.select("text_id").distinct()
-    involved = stored(narrow.join(involved.hint("merge"), narrow.doc_id == involved.text_id, "left_semi"), "candidate-texts")
+    chosen = signed.select("row", "seen").join(bands.select("node").distinct(), F.col("row") == F.col("node"), "left_semi")
+
+    def unpack(batches):
+        for batch in batches:
+            for block in batch.to_pylist():
+                column = block_texts(block)
+                for at in range(0, len(column), 2_000):
+                    part = column.slice(at, 2_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(row_numbers(block["block"], np.arange(at, at + len(part)))), part.cast(pa.string())], names=["row", "text"])
+
+    numbered = blocks.select("block", "sizes", "text").mapInArrow(unpack, "row long, text string")
+    involved = stored(numbered.join(chosen.hint("merge"), "row"), "candidate-texts")
 
     def verify(batches):
-        weights = weigh.value
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def parsed(text):
-            if text not in held:
+        def parsed(row, text, seen):
+            if row not in held:
                 if len(held) > 200:
                     held.clear()
                 values, times = [x for _, _, *x, _ in doc_shingles(pa.array([text], pa.large_string()))][0]
-                held[text] = values, weights(values, times)
-            return held[text]
+                held[row] = values, idf(total, _unpack(seen, np.int64)) * times
+            return held[row]
 
         for batch in batches:
-            left, right = batch.column("left_text").to_pylist(), batch.column("right_text").to_pylist()
-            keep = pa.array(np.array([similarity(parsed(x), parsed(y)) >= threshold for x, y in zip(left, right)], bool))
+            left, right = ([batch.column(c).to_pylist() for c in names] for names in (("a", "left_text", "left_seen"), ("b", "right_text", "right_seen")))
+            keep = pa.array(np.array([similarity(parsed(*x), parsed(*y)) >= threshold for x, y in zip(zip(*left), zip(*right))], bool))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-    left = involved.select(F.col("doc_id").alias("a"), F.col("text").alias("left_text"))
-    right = involved.select(F.col("doc_id").alias("b"), F.col("text").alias("right_text"))
-    links = stored(first.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left_text", "right_text").mapInArrow(
-        verify, "a long, b long"), "links-to-leaders")
+    left = involved.select(F.col("row").alias("a"), F.col("text").alias("left_text"), F.col("seen").alias("left_seen"))
+    right = involved.select(F.col("row").alias("b"), F.col("text").alias("right_text"), F.col("seen").alias("right_seen"))
+    links = stored(first.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(
+        "a", "b", "left_text", "left_seen", "right_text", "right_seen").mapInArrow(verify, "a long, b long"), "links-to-leaders")
 
-    known = connected_components(links)
-    placed = stored(bands.join(known, bands.text_id == known.node, "left").select(
-        "band", "text_id", "size", "bands", F.coalesce("component", "text_id").alias("component")), "placed-bands")
+    known = connected_components(links).withColumnRenamed("node", "known")
+    placed = stored(bands.join(known, bands.node == known.known, "left").select(
+        "band", "node", "size", F.coalesce("component", "node").alias("component")), "placed-bands")
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("size").alias("total")).where(
         "low < high").select("band", F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks"))
-    open_ = placed.join(mixed, "band").select("band", "text_id", "component", "bands", F.pmod(F.xxhash64("text_id"), "blocks").alias("block"))
-    asked = open_.select("text_id").distinct()
+    open_ = placed.join(mixed, "band").select("band", "node", "component", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    asked = open_.select("node").distinct()
 
     def parse(batches):
         for batch in batches:
-            ids, done = batch.column("doc_id"), []
+            done, counts = [], batch.column("seen").to_pylist()
             for at, n, values, times, rows in doc_shingles(batch.column("text")):
                 bounds = np.searchsorted(rows, np.arange(n + 1))
                 for k in range(n):
                     own, many = values[bounds[k]:bounds[k + 1]], times[bounds[k]:bounds[k + 1]]
-                    done.append((elements(own, many).tobytes(), np.repeat(weigh.value(own, np.ones(len(own))), many).tobytes()))
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array([d[k] for d in done], pa.binary()) for k in (0, 1)]], names=["doc_id", "elements", "weights"])
-
-    parsed = involved.join(asked.hint("merge"), involved.doc_id == asked.text_id, "left_semi").mapInArrow(
-        parse, "doc_id long, elements binary, weights binary")
-    # A repeated id has one of its texts here; the others are answered by their own classes.
-    parsed = stored(parsed.groupBy("doc_id").agg(F.min_by(F.struct("elements", "weights"), F.xxhash64("elements")).alias("p")).select("doc_id", "p.*"), "parsed-texts")
-    packed = stored(open_.join(parsed.hint("merge"), open_.text_id == parsed.doc_id).groupBy("band", "block").agg(
-        F.collect_list(F.struct("text_id", "component", "bands", "elements", "weights")).alias("texts")), "packed-bands")  # of bounded size
+                    done.append((elements(own, many).tobytes(), np.repeat(idf(total, _unpack(counts[at + k], np.int64)), many).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array([d[k] for d in done], pa.binary()) for k in (0, 1)]], names=["row", "elements", "weights"])
+
+    parsed = stored(involved.join(asked.hint("merge"), involved.row == asked.node, "left_semi").mapInArrow(
+        parse, "row long, elements binary, weights binary").join(texts.select(F.col("node").alias("row"), "bands").hint("merge"), "row"), "parsed-texts")
+    packed = stored(open_.join(parsed.hint("merge"), open_.node == parsed.row).groupBy("band", "block").agg(
+        F.collect_list(F.struct("node", "component", "bands", "elements", "weights")).alias("texts")), "packed-bands")  # of bounded size
     blocks = packed.select("band", "block")
     tasks = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "band").where("x <= y")
     side = lambda name, at: packed.select("band", F.col("block").alias(at), F.col("texts").alias(name))
@@ -320,8 +329,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, common_share: fl
                 yield pa.RecordBatch.from_pydict({"a": x.ids[a], "b": y.ids[b]})
 
     links = stored(links.unionAll(tasks.mapInArrow(link_blocks, "a long, b long")), "links")
-    classes = connected_components(links)
-    by_text = texts.join(classes, texts.text_id == classes.node, "left").select("t1", "t2", "text_id", F.coalesce("component", "text_id").alias("class_id"))
+    classes = connected_components(links).withColumnRenamed("node", "linked")
+    by_text = stored(texts.join(classes, texts.node == classes.linked, "left").select("t1", "t2", "text_id", F.coalesce("component", "node").alias("component")), "text-classes")
+    by_text = by_text.join(by_text.groupBy("component").agg(F.min("text_id").alias("class_id")), "component")
     answered = signed.select("doc_id", "t1", "t2").join(by_text, ["t1", "t2"]).groupBy("doc_id").agg(F.min(F.struct("class_id", "text_id")).alias("x"))
     return narrow.select("doc_id").join(answered, "doc_id", "left").select(
         "doc_id", F.coalesce("x.class_id", "doc_id").alias("class_id"), F.coalesce("x.text_id", "doc_id").alias("text_id"))

@@ -197,6 +197,29 @@ def test_near_duplicates_link_through_a_third_text(spark):
     assert weighted_minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rare_shingles_weigh_by_their_own_document_counts(spark):
+    rng = random.Random(12)
+    boilerplate = prose(rng, 134, 10**6)  # in 6 of 400 documents: 1.5 %
+    texts = [f"{boilerplate} {prose(rng, 15, 10**6)}" for _ in range(6)] + [prose(rng, 30, 10**6) for _ in range(384)]
+    for _ in range(5):  # real copies
+        words = prose(rng, 120, 10**6).split()
+        texts += [" ".join(words), " ".join([*words[:-2], "other", "end"])]
+    counts = [shingle_counts(word_list(t)) for t in texts]
+    seen = Counter(s for c in counts for s in c)
+    weight = lambda s: 1 + math.log(len(texts) / seen[s])
+    assert weighted_jaccard(counts[0], counts[1], weight) < 0.78 < 0.81 < weighted_jaccard(counts[0], counts[1], lambda s: 1 + math.log(50))
+    want = components(range(400), [(a, b) for a in range(400) for b in range(a) if counts[a].keys() & counts[b].keys()
+                                   and weighted_jaccard(counts[a], counts[b], weight) >= 0.8])
+    for sizes in ({}, {"block_bytes": 5_000, "shard_bytes": 2_000}):
+        got = {r["doc_id"]: r["class_id"] for r in weighted_minhash.near_duplicates(frame(spark, texts), **sizes).collect()}
+        assert got == want and len(set(got.values())) == 395
+
+
+def test_row_numbers_differ_in_late_partitions():
+    made = [weighted_minhash.row_numbers(p << 32 | n, np.arange(3)) for p in (0, 1, 127, 128, 300_000) for n in (0, 1, 70_000)]
+    assert len(np.unique(np.concatenate(made))) == 45 and min(x.min() for x in made) >= 0
+
+
 # 9: decontamination ------------------------------------------------------------------------------------------------------------------
 
 def brute_contaminated(texts, items):
