@@ -209,10 +209,11 @@ def score_texts(docs: DataFrame, *, held: Column, prior: float = 4.0, id_col: st
     trie keeps for the bigrams seen.
 
     Work goes in four steps over compressed blocks of texts: (1) each block's distinct words to word shards, which
-    answer with corpus counts; (2) with those, a block knows base scores and backoffs, and sends its bigrams, sorted and
-    packed, to bigram shards; (3) a shard counts the training bigrams, builds its trie and looks up all bigrams; (4) the
-    documents' gains are added up. Shards are by predicted word, those of very frequent words also by context, so no
-    word fills a shard. Words are known by 64-bit hashes, bigrams by a hash whose length grows with the corpus.
+    answer with corpus counts; (2) with those, a block knows base scores and backoffs, and sends each of its distinct
+    bigrams once, with its training count, sorted and packed, to bigram shards; (3) a shard sums the counts, builds its
+    trie and answers every block's bigrams with gains; (4) the block adds them up for its documents. Shards are by
+    predicted word, those of very frequent words also by context; a bigram, however frequent, is no more entries in
+    its shard than there are blocks. Words are known by 64-bit hashes, bigrams by a hash whose length grows with the corpus.
 
     A null text is empty (one token, the end); repeated rows count and are answered each; other columns are ignored;
     an empty table gives an empty result.
@@ -253,80 +254,85 @@ def score_texts(docs: DataFrame, *, held: Column, prior: float = 4.0, id_col: st
     spread = n_all / (4 * shards)
     informed = blocks.join(answers.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("answers")), "block")
 
+    def paired(row: dict) -> tuple[np.ndarray, ...]:
+        """(owner, corpus count and context's count of each token, place of its bigram, bigrams' shards, keys and word counts): a block's distinct
+        bigrams by shard and key, the same whenever they are asked for."""
+        tokens, owner, _ = block_tokens(row)
+        _, inverse = np.unique(tokens, return_inverse=True)
+        c = np.concatenate([_unpack(a["counts"], np.int64) for a in row["answers"]])[inverse]
+        before, c_before = np.empty_like(tokens), np.empty_like(c)
+        before[1:], c_before[1:] = tokens[:-1], c[:-1]
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        before[first], c_before[first] = BEGIN, starts
+        half = U64(64 - key_bits // 2)
+        key = tokens >> half << U64(key_bits // 2) | K.mix(before) >> half
+        route = np.where(c > spread, K.mix(tokens ^ K.mix(before)), K.mix(tokens)) % U64(shards)
+        order = np.lexsort((key, route))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(key[order]) != 0) | (np.diff(route[order]) != 0)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        at = order[new]
+        return owner, c, c_before, place, route[at], key[at], c[at]
+
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                tokens, owner, n = block_tokens(row)
-                distinct, inverse = np.unique(tokens, return_inverse=True)
-                corpus = np.concatenate([_unpack(a["counts"], np.int64) for a in row["answers"]])
-                c = corpus[inverse]
-                before, c_before = np.empty_like(tokens), np.empty_like(c)
-                before[1:], c_before[1:] = tokens[:-1], c[:-1]
-                first = np.flatnonzero(np.diff(owner, prepend=-1))
-                before[first], c_before[first] = BEGIN, starts
-                q = (c + 1) / (n_all + v_all + 1)
-                sums = lambda x: np.bincount(owner, weights=x, minlength=n)
-                stats = np.stack([sums(None), sums(c > 0), sums(np.log10(q)), sums(np.log10(prior * q / (c_before + prior)))])
-                half = U64(64 - key_bits // 2)
-                key = tokens >> half << U64(key_bits // 2) | K.mix(before) >> half
-                route = np.where(c > spread, K.mix(tokens ^ K.mix(before)), K.mix(tokens)) % U64(shards)
-                order = np.lexsort((key, route))
-                key, route, doc, c = key[order], route[order], owner[order].astype(np.uint32), c[order]
-                parts = np.searchsorted(route, np.arange(1, shards, dtype=U64))
-                out = [(-1 - row["block"], b"", b"", b"", stats.tobytes())]
-                for s, (k, d, m) in enumerate(zip(np.split(key, parts), np.split(doc, parts), np.split(c, parts))):
+                owner, _, _, place, route, key, c = paired(row)
+                learn = ~np.array([bool(h) for h in row["held"]], bool)
+                times = np.bincount(place[learn[owner]], minlength=len(key)).astype(np.uint32)
+                parts, out = np.searchsorted(route, np.arange(1, shards, dtype=U64)), []
+                for s, (k, t, m) in enumerate(zip(np.split(key, parts), np.split(times, parts), np.split(c, parts))):
                     if len(k):
                         new = np.flatnonzero(np.diff(k >> U64(key_bits // 2), prepend=~(k[:1] >> U64(key_bits // 2))))
-                        out.append((s, _pack_sorted(k), _pack(d), _pack(m[new]), np.packbits(row["held"]).tobytes()))
+                        out.append((s, _pack_sorted(k), _pack(t), _pack(m[new])))
                 columns = list(zip(*out))
-                yield pa.RecordBatch.from_pydict({"block": [row["block"]] * len(out), "shard": columns[0], "keys": columns[1], "docs": columns[2],
-                                                  "counts": columns[3], "more": columns[4], "n": [n] * len(out)})
+                yield pa.RecordBatch.from_pydict({"block": [row["block"]] * len(out), "shard": columns[0], "keys": columns[1], "times": columns[2],
+                                                  "counts": columns[3]})
 
     def look_up(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        if rows[0]["shard"] < 0:
-            return pa.table({"block": [r["block"] for r in rows], "stats": [r["more"] for r in rows], "gains": [b""] * len(rows)}, schema=out_schema)
-        lists, rare, learn, docs_of = [], [], [], []
+        lists, rare = [], []
         for r in rows:
-            keys, doc = _unpack_sorted(r["keys"]), _unpack(r["docs"], np.uint32)
+            keys = _unpack_sorted(r["keys"])
             part = keys >> U64(key_bits // 2)
             which = np.cumsum(np.diff(part, prepend=~part[:1]) != 0) - 1
-            held_out = np.unpackbits(np.frombuffer(r["more"], np.uint8))[:r["n"]].astype(bool)
             lists.append(keys)
-            docs_of.append(doc)
-            learn.append(~held_out[doc])
             rare.append((prior * (_unpack(r["counts"], np.int64)[which] + 1) / (n_all + v_all + 1)).astype(np.float32))
-        keys, learn, rare = np.concatenate(lists), np.concatenate(learn), np.concatenate(rare)
-        order = np.argsort(keys[learn], kind="stable")
-        own, own_rare = keys[learn][order], rare[learn][order]
+        keys, rare, times = np.concatenate(lists), np.concatenate(rare), np.concatenate([_unpack(r["times"], np.uint32) for r in rows]).astype(np.int64)
+        learnt = np.flatnonzero(times)
+        order = learnt[np.argsort(keys[learnt], kind="stable")]
+        own, own_rare = keys[order], rare[order]
         first = np.flatnonzero(np.diff(own, prepend=~own[:1]))
-        times = np.diff(np.append(first, len(own)))
-        trie = Trie.build(own[first], np.log10(1 + times / own_rare[first].astype(float)), key_bits)
+        sums = np.add.reduceat(times[order], first) if len(first) else np.empty(0, np.int64)
+        trie = Trie.build(own[first], np.log10(1 + sums / own_rare[first].astype(float)), key_bits)
         with tempfile.TemporaryDirectory() as folder:  # this task's own copy, gone with the task
             trie.write(folder)
             trie = Trie.open(folder)
-            gains = [np.bincount(doc, weights=np.concatenate([trie.lookup(k[i:i + 500_000]) for i in range(0, len(k), 500_000)]), minlength=r["n"])
-                     for r, k, doc in zip(rows, lists, docs_of)]
+            gains = [np.concatenate([trie.lookup(k[i:i + 500_000]) for i in range(0, len(k), 500_000)]) for k in lists]
             del trie
-        return pa.table({"block": [r["block"] for r in rows], "stats": [b""] * len(rows), "gains": [g.astype(np.float32).tobytes() for g in gains]}, schema=out_schema)
+        return pa.table({"block": [r["block"] for r in rows], "shard": [r["shard"] for r in rows],
+                         "gains": pa.array([_pack(np.rint(g * (STEPS / MOST)).astype(np.uint16)) for g in gains], pa.binary())})
 
-    out_schema = pa.schema([("block", pa.int64()), ("stats", pa.binary()), ("gains", pa.binary())])
+    sent = informed.mapInArrow(bigrams, "block long, shard long, keys binary, times binary, counts binary")
+    found = sent.groupBy("shard").applyInArrow(look_up, "block long, shard long, gains binary")
+    found = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "gains"))).alias("found"))
 
-    def add_up(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        stats = next(np.frombuffer(r["stats"], float).reshape(4, -1) for r in rows if r["stats"])
-        gains = sum((np.frombuffer(r["gains"], np.float32).astype(float) for r in sorted(rows, key=lambda r: r["gains"]) if r["gains"]), np.zeros(stats.shape[1]))
-        n = stats.shape[1]
-        return pa.table({"block": np.full(n, rows[0]["block"]), "place": np.arange(n), "n_tokens": stats[0].astype(np.int64), "n_known": stats[1].astype(np.int64),
-                         "base_score": stats[2], "score": stats[3] + gains})
-
-    sent = informed.mapInArrow(bigrams, "block long, shard long, keys binary, docs binary, counts binary, more binary, n long")
-    found = sent.groupBy("shard").applyInArrow(look_up, "block long, stats binary, gains binary")
-    scored = found.groupBy("block").applyInArrow(add_up, "block long, place long, n_tokens long, n_known long, base_score double, score double")
-    ids = blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "held")).alias("place", "d")).select(
-        "block", F.col("place").cast("long").alias("place"), F.col("d.doc_ids").cast(kind).alias("doc_id"), F.col("d.held").alias("held_out"))
-    return ids.join(scored, ["block", "place"]).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"),
-                                                       "base_score", "score")
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row, ids, held_out = batch.slice(i, 1).to_pylist()[0], batch.column("doc_ids")[i].values, batch.column("held")[i].values
+                owner, c, c_before, place, *_ = paired(row)
+                gains = np.concatenate([_unpack(x["gains"], np.uint16) for x in row["found"]])[place] * (MOST / STEPS)
+                q = (c + 1) / (n_all + v_all + 1)
+                sums = lambda x: np.bincount(owner, weights=x, minlength=len(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, held_out, pa.array(sums(None).astype(np.int64)), pa.array(sums(c > 0).astype(np.int64)), pa.array(np.full(len(ids), n_all, np.int64)),
+                     pa.array(sums(np.log10(q))), pa.array(sums(np.log10(prior * q / (c_before + prior)) + gains))],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return informed.join(found, "block").mapInArrow(
+        add_up, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _borders(shards: int) -> np.ndarray:

@@ -362,6 +362,26 @@ def test_scores_equal_brute_force(spark, block, shard):
     assert trie_lm.score_texts(docs.limit(0), held=remainder("doc_id", 7) == 2).count() == 0
 
 
+def test_a_frequent_bigram_is_one_entry_of_a_block(spark, monkeypatch):
+    from rowharvest.llm.common import remainder
+
+    sent, pack = spark.sparkContext.accumulator(0), trie_lm._pack_sorted  # entries of the lists of words and bigrams, by the tasks
+
+    def counted(values):
+        sent.add(len(values))
+        return pack(values)
+
+    rng = random.Random(4)
+    texts = ["hot pair " * 2000 + prose(rng, 5, 9) for _ in range(30)]
+    monkeypatch.setattr(trie_lm, "_pack_sorted", counted)
+    docs = frame(spark, texts)
+    got = trie_lm.score_texts(docs, held=remainder("doc_id", 7) == 2, block_bytes=200_000, shard_bytes=20_000).orderBy("doc_id").collect()
+    assert 0 < sent.value < 5_000  # the texts have 120,180 tokens
+    want = brute_scores(texts, [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))], 4.0)
+    for r, w in zip(got, want, strict=True):
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:3] and r["score"] == pytest.approx(w[4], abs=3e-4 * r["n_tokens"])
+
+
 def test_bigram_probabilities_sum_to_one():
     c, n, v, prior = {"a": 6, "b": 3, "end": 3}, 12, 3, 4.0
     q = {w: (k + 1) / (n + v + 1) for w, k in c.items()} | {"unknown": 1 / (n + v + 1)}
