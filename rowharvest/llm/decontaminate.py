@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowharvest.llm import kernel as K
+from rowharvest.llm.common import stored
 
 SHINGLE = 5
 BITS = 256
@@ -48,9 +49,13 @@ def nibbles(fingerprint: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Benchmark items of one bounded slice: seeds, fingerprints by block, and shingle weights."""
+    """Benchmark items of one bounded slice: seeds and fingerprints by block, with the shingle weights of the whole benchmark.
 
-    def __init__(self, item_ids: list, texts: list[str | None], threshold: float):
+    ``whole`` has the number of items with words, the ascending shingles that two items or more have, and in how many
+    items each is; without it, the items here are the whole benchmark.
+    """
+
+    def __init__(self, item_ids: list, texts: list[str | None], threshold: float, whole: tuple[int, np.ndarray, np.ndarray] | None = None):
         self.threshold = threshold
         column = pa.array(texts, pa.large_string())
         runs: list[np.ndarray] = []
@@ -60,12 +65,17 @@ class Items:
         self.ids, runs = [item_ids[i] for i in kept], [runs[i] for i in kept]
         self.words = np.array([len(run) for run in runs], dtype=np.int64)
         sets = [window_shingles(run) for run in runs]
-        seen = Counter(s for x in sets for s in set(x.tolist()))
-        #: A shingle of many items says less; one that no item has weighs most.
-        self.other = 1 + math.log1p(len(sets))
-        self.weights = {s: 1 + math.log((1 + len(sets)) / n) for s, n in seen.items()}
+        if whole is None:
+            value, n = np.unique(np.concatenate([np.unique(x) for x in sets]) if sets else np.empty(0, np.uint64), return_counts=True)
+            whole = len(sets), value[n > 1], n[n > 1]
+        total, self.common, seen = whole
+        #: A shingle of many items says less; one of a single item weighs as one that no item has: most.
+        self.other = 1 + math.log1p(total)
+        self.common_weights = 1 + np.log((1 + total) / seen)
         self.counts = [Counter(x.tolist()) for x in sets]
-        prints = [fingerprint(np.array(list(c), np.uint64), np.array([self.weights[s] * n for s, n in c.items()], np.float32)) for c in self.counts]
+        weights = [self.weigh(c) for c in self.counts]
+        self.weights = [dict(zip(c, w.tolist())) for c, w in zip(self.counts, weights)]
+        prints = [fingerprint(np.array(list(c), np.uint64), (w * list(c.values())).astype(np.float32)) for c, w in zip(self.counts, weights)]
         self.prints = np.array(prints, np.uint8).reshape(-1, BITS // 8)
         self.blocks = [[np.empty(0, np.int64)] * 16 for _ in range(BLOCKS)]
         if len(prints):
@@ -82,6 +92,15 @@ class Items:
             self.seeds[size] = (bitmap, value[order], np.concatenate([np.full(len(sets[i]), i) for i in mine])[order],
                                 np.concatenate([np.arange(len(sets[i])) for i in mine])[order])
 
+    def weigh(self, shingles: Counter) -> np.ndarray:
+        """Weight of one occurrence of each shingle, in the counter's order."""
+        weights, asked = np.full(len(shingles), self.other), np.array(list(shingles), np.uint64)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, asked), len(self.common) - 1)
+            hit = self.common[at] == asked
+            weights[hit] = self.common_weights[at[hit]]
+        return weights
+
     def starts(self, hashes: np.ndarray, rows: np.ndarray, n_rows: int, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Distinct (row, item, first word) of the windows to look at.
 
@@ -123,14 +142,14 @@ class Items:
         differ = np.unpackbits(self.prints[found] ^ print_, axis=1).sum(axis=1)
         return found[differ <= RADIUS]
 
-    def similarity(self, item: int, window: Counter) -> float:
-        """Weighted Jaccard similarity of the shingle multisets."""
+    def similarity(self, item: int, window: Counter, weights: dict[int, float]) -> float:
+        """Weighted Jaccard similarity of the shingle multisets; ``weights`` are of the window's shingles."""
         own, shared, total = self.counts[item], 0.0, 0.0
         for s, n in window.items():
-            weight, m = self.weights.get(s, self.other), own.get(s, 0)
+            weight, m = weights[s], own.get(s, 0)
             shared += weight * min(n, m)
             total += weight * max(n, m)
-        total += sum(self.weights[s] * n for s, n in own.items() if s not in window)
+        total += sum(self.weights[item][s] * n for s, n in own.items() if s not in window)
         return shared / total if total else 0.0
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, float]]:
@@ -140,21 +159,21 @@ class Items:
             counts = np.bincount(rows, minlength=n)
             first = np.concatenate(([0], np.cumsum(counts)[:-1]))
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
-            looked: dict[tuple[int, int, int], tuple[Counter, np.ndarray, np.ndarray]] = {}
+            looked: dict[tuple[int, int, int], tuple[Counter, dict, np.ndarray, np.ndarray]] = {}
             for row, item, begin in self.starts(hashes, rows, n, first, counts).tolist():
                 length = min(int(self.words[item]), int(counts[row]))
                 key = (row, begin, length)
                 if key not in looked:
                     at = first[row] + begin
                     window = Counter(window_shingles(hashes[at:at + length]).tolist())
-                    weights = np.array([self.weights.get(s, self.other) * m for s, m in window.items()], np.float32)
-                    print_ = fingerprint(np.array(list(window), np.uint64), weights)
-                    looked[key] = window, print_, self.near(print_)
-                window, print_, near = looked[key]
+                    weights = self.weigh(window)
+                    print_ = fingerprint(np.array(list(window), np.uint64), (weights * list(window.values())).astype(np.float32))
+                    looked[key] = window, dict(zip(window, weights.tolist())), print_, self.near(print_)
+                window, weights, print_, near = looked[key]
                 for other in near.tolist():
                     if self.words[other] != self.words[item] and other != item:
                         continue  # this window has another item's size
-                    value = self.similarity(other, window)
+                    value = self.similarity(other, window, weights)
                     if value >= self.threshold and (value, -begin) > best.get((row, other), (0.0, 0, 0))[:2]:
                         best[row, other] = value, -begin, int(np.unpackbits(self.prints[other] ^ print_).sum())
             for (row, item), (value, begin, distance) in sorted(best.items()):
@@ -162,14 +181,41 @@ class Items:
             done += n
 
 
+def item_counts(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(items with words, ascending shingles that two or more of them have, in how many each is), of the whole benchmark.
+
+    A shingle of one item needs no entry: it weighs as one that no item has.
+    """
+
+    def shingles(batches):
+        for batch in batches:
+            for n, hashes, rows in text_words(batch.column("text")):
+                value, row, _ = K.shingles(hashes, rows, n, SHINGLE)
+                order = np.lexsort((value, row))
+                value, row = value[order], row[order]
+                new = np.ones(len(value), bool)
+                new[1:] = (np.diff(value) != 0) | (np.diff(row) != 0)
+                first = np.diff(row, prepend=-1) != 0  # a row with words has a shingle; these count the rows
+                yield pa.RecordBatch.from_pydict({"h": K.signed(value[new]), "first": first[new].astype(np.int64)})
+
+    counts = stored(items.select("text").mapInArrow(shingles, "h long, first long").groupBy("h").agg(
+        F.count("*").alias("n"), F.sum("first").alias("first")), "benchmark-shingles")
+    total = counts.agg(F.sum("first")).first()[0] or 0
+    common = counts.where("n > 1").select("h", "n").toArrow()
+    value, n = common.column("h").to_numpy().view(np.uint64), common.column("n").to_numpy()
+    order = np.argsort(value)
+    return total, value[order], n[order]
+
+
 def item_slices(benchmark: DataFrame, threshold: float, slice_bytes: int, id_col: str, text_col: str) -> Iterator[Items]:
-    """The benchmark in slices of about ``slice_bytes`` of text, so that what every task is given has a bound."""
+    """The benchmark in slices of about ``slice_bytes`` of text, each with the shingle weights of the whole."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    whole = item_counts(items)
     n = max(1, math.ceil(total / slice_bytes))
     for part in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part).orderBy("item_id", "text").toArrow()
-        made = Items(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), threshold)
+        made = Items(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), threshold, whole)
         if made.ids:
             yield made
 
@@ -184,7 +230,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.
     weighted Jaccard similarity of shingle multisets; a shingle's weight falls with the number of items that have it.
     One row per document row and item, for the best window (the first, if equal). Null or word-free texts and
     items match nothing; repeated rows are each answered; two equal items are both named; other columns are ignored.
-    No shuffle: the benchmark goes to the tasks in slices of bounded size, one pass over the texts for each slice.
+    No shuffle of texts: the benchmark goes to the tasks in slices of bounded size, one pass over the texts for each slice. With each
+    slice go the counts of all shingles that two or more items have (16 bytes each), so the slices do not change the weights.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = {"doc_id": dict(narrow.dtypes)["doc_id"], "item_id": dict(benchmark.dtypes)[item_id_col]}

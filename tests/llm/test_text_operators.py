@@ -261,6 +261,19 @@ def test_contaminated_equals_brute_force(spark):
     assert decontaminate.contaminated(frame(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_slices_do_not_change_the_weights(spark):
+    rng = random.Random(19)
+    template = prose(rng, 24, 10**6)
+    items = [f"{template} {prose(rng, 12, 10**6)}" for _ in range(30)] + ["", None, "one two"]
+    texts = [f"{prose(rng, 8, 10**6)} {' '.join(item.split()[:36 - k] + ['zz'] * k)} {prose(rng, 8, 10**6)}" for item in items[:20] for k in (0, 2, 3, 4)]
+    texts += [f"{template} {prose(rng, 12, 10**6)}" for _ in range(10)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = [rows(decontaminate.contaminated(frame(spark, texts), benchmark, slice_bytes=size), "doc_id", "item_id", "first_word", "n_words", "distance", "similarity")
+             for size in (1 << 20, 1_500)]
+    assert found[0] == found[1] and {r[:2] for r in found[0]} == brute_contaminated(texts, items)
+    assert 20 <= len(found[0]) < len(texts)
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(4)
     items = decontaminate.Items(list(range(50)), [prose(random.Random(i), 20) for i in range(50)], 0.8)
