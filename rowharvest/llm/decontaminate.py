@@ -16,9 +16,8 @@ from rowharvest.llm.common import stored
 
 SHINGLE = 5
 BITS = 256
-#: Windows further than this from every item are no candidates. A window of similarity 0.8 differs in
-#: 39 bits on average with a standard deviation of 5.7, so 60 leaves out about one in ten thousand at the
-#: threshold itself, and fewer above it.
+#: Other items of its size are tried at a window if they are within this distance. A window's own item, with which it
+#: shares a shingle, is verified at any distance: weights that differ much leave similar texts far apart.
 RADIUS = 60
 #: 64 blocks of 4 bits: fingerprints that differ in at most RADIUS bits agree in at least 64 - RADIUS blocks.
 BLOCKS = 64
@@ -74,6 +73,12 @@ class Items:
         self.common_weights = 1 + np.log((1 + total) / seen)
         self.counts = [Counter(x.tolist()) for x in sets]
         weights = [self.weigh(c) for c in self.counts]
+        #: The items' shingles, one item after the other, with times and weights.
+        self.bounds = np.concatenate(([0], np.cumsum([len(c) for c in self.counts]))).astype(np.int64)
+        self.flat = np.array([s for c in self.counts for s in c], np.uint64)
+        self.flat_times = np.array([n for c in self.counts for n in c.values()], np.float64)
+        self.flat_weights = np.concatenate([*weights, np.empty(0)])
+        self.totals = np.array([w @ list(c.values()) for c, w in zip(self.counts, weights)])
         self.weights = [dict(zip(c, w.tolist())) for c, w in zip(self.counts, weights)]
         prints = [fingerprint(np.array(list(c), np.uint64), (w * list(c.values())).astype(np.float32)) for c, w in zip(self.counts, weights)]
         self.prints = np.array(prints, np.uint8).reshape(-1, BITS // 8)
@@ -152,6 +157,18 @@ class Items:
         total += sum(self.weights[item][s] * n for s, n in own.items() if s not in window)
         return shared / total if total else 0.0
 
+    def similar(self, tried: np.ndarray, window: Counter, weights: np.ndarray) -> np.ndarray:
+        """The items among those tried that may reach the threshold: all at once, with room for rounding."""
+        shingles, times = np.array(list(window), np.uint64), np.array(list(window.values()), np.float64)
+        order = np.argsort(shingles)
+        sizes = self.bounds[tried + 1] - self.bounds[tried]
+        start = np.cumsum(sizes) - sizes
+        at = np.repeat(self.bounds[tried] - start, sizes) + np.arange(sizes.sum())
+        place = order[np.minimum(np.searchsorted(shingles, self.flat[at], sorter=order), len(order) - 1)]
+        both = np.where(shingles[place] == self.flat[at], np.minimum(times[place], self.flat_times[at]), 0) * self.flat_weights[at]
+        shared = np.add.reduceat(both, start)
+        return tried[shared >= (self.threshold - 1e-6) * (weights @ times + self.totals[tried] - shared)]
+
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, float]]:
         """(row, item, first word, distance, similarity): the best window of each row and item that reaches the threshold."""
         done = 0
@@ -159,23 +176,21 @@ class Items:
             counts = np.bincount(rows, minlength=n)
             first = np.concatenate(([0], np.cumsum(counts)[:-1]))
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
-            looked: dict[tuple[int, int, int], tuple[Counter, dict, np.ndarray, np.ndarray]] = {}
+            windows: dict[tuple[int, int, int], set[int]] = {}
             for row, item, begin in self.starts(hashes, rows, n, first, counts).tolist():
-                length = min(int(self.words[item]), int(counts[row]))
-                key = (row, begin, length)
-                if key not in looked:
-                    at = first[row] + begin
-                    window = Counter(window_shingles(hashes[at:at + length]).tolist())
-                    weights = self.weigh(window)
-                    print_ = fingerprint(np.array(list(window), np.uint64), (weights * list(window.values())).astype(np.float32))
-                    looked[key] = window, dict(zip(window, weights.tolist())), print_, self.near(print_)
-                window, weights, print_, near = looked[key]
-                for other in near.tolist():
-                    if self.words[other] != self.words[item] and other != item:
-                        continue  # this window has another item's size
-                    value = self.similarity(other, window, weights)
-                    if value >= self.threshold and (value, -begin) > best.get((row, other), (0.0, 0, 0))[:2]:
-                        best[row, other] = value, -begin, int(np.unpackbits(self.prints[other] ^ print_).sum())
+                windows.setdefault((row, begin, min(int(self.words[item]), int(counts[row]))), set()).add(item)
+            for (row, begin, length), proposed in windows.items():
+                at = first[row] + begin
+                window = Counter(window_shingles(hashes[at:at + length]).tolist())
+                weights = self.weigh(window)
+                print_ = fingerprint(np.array(list(window), np.uint64), (weights * list(window.values())).astype(np.float32))
+                sizes = {int(self.words[item]) for item in proposed}
+                tried = proposed | {other for other in self.near(print_).tolist() if int(self.words[other]) in sizes}
+                by_shingle = dict(zip(window, weights.tolist()))
+                for item in self.similar(np.array(sorted(tried)), window, weights).tolist():
+                    value = self.similarity(item, window, by_shingle)
+                    if value >= self.threshold and (value, -begin) > best.get((row, item), (0.0, 0, 0))[:2]:
+                        best[row, item] = value, -begin, int(np.unpackbits(self.prints[item] ^ print_).sum())
             for (row, item), (value, begin, distance) in sorted(best.items()):
                 yield done + row, item, -begin, distance, value
             done += n

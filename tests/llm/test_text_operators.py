@@ -274,6 +274,16 @@ def test_slices_do_not_change_the_weights(spark):
     assert 20 <= len(found[0]) < len(texts)
 
 
+def test_matches_far_apart_in_bits_are_found(spark):
+    rng = random.Random(23)
+    template = prose(rng, 64, 10**6)  # 60 shingles of weight 1, two own ones of weight 7
+    items = [f"{template} {prose(rng, 2, 10**6)}" for _ in range(400)]
+    texts = [" ".join(["zz", *item.split()[:-1], "other"]) for item in items[:25]]
+    got = decontaminate.contaminated(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == brute_contaminated(texts, items) >= {(i, i) for i in range(25)}
+    assert any(r["distance"] > decontaminate.RADIUS for r in got)
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(4)
     items = decontaminate.Items(list(range(50)), [prose(random.Random(i), 20) for i in range(50)], 0.8)
