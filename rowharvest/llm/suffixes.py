@@ -291,6 +291,18 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return key[begin], content, row, begin - offsets[row], end - begin, grams_in
 
 
+def window_hashes(data: np.ndarray, length: int) -> list[np.ndarray]:
+    """Two independent hashes of the ``length`` bytes from each place of ``data`` that has so many."""
+    up, down = K._powers(len(data))
+    out = []
+    for seed in (1, 2):
+        prefix = np.empty(len(data) + 1, U64)
+        prefix[0] = 0
+        np.cumsum(K.byte_values(seed, False)[data] * up[:len(data)], out=prefix[1:])
+        out.append(K.mix((prefix[length:] - prefix[:-length]) * down[:len(data) - length + 1]))
+    return out
+
+
 def recurring_spans(parts: list[bytes], owners: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
     """(owner, start, end) of the bytes of each part that are in a run of ``length`` bytes found at another place, too."""
     sizes = np.array([len(x) for x in parts])
@@ -311,7 +323,8 @@ def remove_recurring(docs: DataFrame, *, length: int = 400, shard_bytes: int = S
     (1) Every text is cut into segments of windows that share the hash of their least gram; equal windows are in segments
     of equal key. Segments with a key found once are done. (2) Of the others, contents found several times recur as a whole.
     (3) One copy of each distinct content, where a key has several, goes to the key's shard, which builds its suffix array
-    and finds what recurs. (4) Spans go back to the texts by segment. Rows are hashes and places up to step 3; copies,
+    and finds what recurs. A key whose contents exceed ``shard_bytes`` is no group: a row for each window of its distinct
+    contents, known by two more 64-bit hashes, is dealt by those, and windows of two places recur. (4) Spans go back to the texts by segment. Rows are hashes and places up to step 3; copies,
     however many, are one content. The exact check is the arrays' own, on bytes; hashes route.
 
     A null text is empty; rows that repeat an id and a text are texts of their own, whose passages recur; null ids are kept;
@@ -345,10 +358,11 @@ def remove_recurring(docs: DataFrame, *, length: int = 400, shard_bytes: int = S
     contents = stored(found.groupBy("key", "content").agg(
         F.count("*").alias("copies"), F.max("grams").alias("grams"), F.min(F.struct("doc_id", "tag", "start", "size")).alias("one")), "segment-contents")
     mixed = contents.groupBy("key").agg(F.count("*").alias("n"), F.max("grams").alias("grams"), F.sum("one.size").alias("bytes")).where("n > 1 or grams > 1")
-    total = (mixed := stored(mixed, "mixed-keys")).agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
-    wanted = contents.join(mixed.select("key"), "key", "left_semi").select(
-        F.col("one.doc_id").alias("doc_id"), F.col("one.tag").alias("tag"), F.struct("one.start", "one.size", "key", "content").alias("part"))
+    mixed = stored(mixed.withColumn("large", F.col("bytes") > shard_bytes), "mixed-keys")
+    total, large = mixed.agg(F.sum(F.when(~F.col("large"), F.col("bytes"))), F.max("large")).first()
+    shards = max(1, math.ceil((total or 0) / shard_bytes))
+    wanted = contents.join(mixed.select("key", "large"), "key").select(
+        F.col("one.doc_id").alias("doc_id"), F.col("one.tag").alias("tag"), F.struct("one.start", "one.size", "key", "content", "large").alias("part"))
     wanted = wanted.groupBy("doc_id", "tag").agg(F.collect_list("part").alias("parts"))  # no more than a text's own segments
     same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.tag") == F.col(f"{y}.tag"))
     holders = base.alias("d").join(wanted.alias("w"), same("d", "w")).select("d.text", "w.parts")
@@ -358,10 +372,30 @@ def remove_recurring(docs: DataFrame, *, length: int = 400, shard_bytes: int = S
             out = []
             for text, parts in zip(batch.column("text"), batch.column("parts")):
                 raw = memoryview(text.as_buffer())
-                out += [(p["key"], p["content"], bytes(raw[p["start"]:p["start"] + p["size"]])) for p in parts.as_py()]
+                out += [(p["key"], p["content"], bytes(raw[p["start"]:p["start"] + p["size"]])) for p in parts.as_py() if not p["large"]]
             columns = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["key", "content", "bytes"])
 
+    def hashed(batches):
+        """Two hashes of each window of the contents of large keys."""
+        for batch in batches:
+            for text, parts in zip(batch.column("text"), batch.column("parts")):
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                for p in parts.as_py():
+                    if p["large"]:
+                        one, two = window_hashes(raw[p["start"]:p["start"] + p["size"]], length)
+                        yield pa.RecordBatch.from_pydict({"key": np.full(len(one), p["key"]), "content": np.full(len(one), p["content"]),
+                                                          "low": np.arange(len(one)), "h1": K.signed(one), "h2": K.signed(two)})
+
+    def merged(batches):
+        for batch in batches:
+            out = []
+            for key, content, lows in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "lows"))):
+                lows = np.array(lows, np.int64)
+                for run in np.split(lows, np.flatnonzero(np.diff(lows) > length) + 1):
+                    out.append((key, content, int(run[0]), int(run[-1]) + length))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["key", "content", "low", "high"])
+
     def search(table: pa.Table) -> pa.Table:
         order = np.lexsort((table.column("content").to_numpy(), table.column("key").to_numpy()))
         key, content = table.column("key").to_numpy()[order], table.column("content").to_numpy()[order]
@@ -376,6 +410,12 @@ def remove_recurring(docs: DataFrame, *, length: int = 400, shard_bytes: int = S
 
     sent = holders.mapInArrow(fetch, "key long, content long, bytes binary").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     marked = sent.groupBy("shard").applyInArrow(search, "key long, content long, low long, high long")
+    if large:
+        windows = stored(holders.where(F.exists("parts", lambda p: p["large"])).mapInArrow(hashed, "key long, content long, low long, h1 long, h2 long"), "key-windows")
+        place = F.struct("content", "low")  # repeated rows sent the same place twice
+        again = windows.groupBy("key", "h1", "h2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x < y").select("key", "h1", "h2")
+        lows = windows.join(again, ["key", "h1", "h2"], "left_semi").groupBy("key", "content").agg(F.sort_array(F.collect_set("low")).alias("lows"))
+        marked = marked.unionAll(lows.mapInArrow(merged, "key long, content long, low long, high long"))
     whole = contents.where("copies > 1").select("key", "content", F.lit(0).cast("long").alias("low"), F.col("one.size").cast("long").alias("high"))
     marks = stored(whole.unionAll(marked), "segment-spans")
     spans = found.select("doc_id", "tag", "key", "content", "start").join(marks, ["key", "content"]).groupBy("doc_id", "tag").agg(

@@ -455,6 +455,23 @@ def test_removed_passages_equal_brute_force(spark, length, shard):
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got] == brute_removed(texts, length)
 
 
+def test_a_line_in_all_texts_is_not_one_group(spark, monkeypatch):
+    rng = random.Random(21)
+    line = prose(rng, 14, 10**5)  # shorter than the windows, in every text, with other text around it
+    texts = [f"{prose(rng, 12, 10**5)} {line} {prose(rng, 12, 10**5)}" for _ in range(60)]
+    texts += [f"{prose(rng, 4, 10**5)} {texts[k][20:150]} {prose(rng, 4, 10**5)}" for k in range(10)] + texts[:3] + [line * 5]
+    sizes, spans = spark.sparkContext.accumulator(0), suffixes.recurring_spans
+
+    def bounded(parts, owners, length):
+        sizes.add(max(0, sum(map(len, parts)) - 6_000))
+        return spans(parts, owners, length)
+
+    monkeypatch.setattr(suffixes, "recurring_spans", bounded)
+    got = suffixes.remove_recurring(frame(spark, texts), length=120, shard_bytes=1_000).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got] == brute_removed(texts, 120)
+    assert sum(r["n_removed"] > 0 for r in got) >= 20 and sizes.value == 0
+
+
 def test_repeated_rows_recur_and_null_ids_stay(spark):
     text = prose(random.Random(1), 300)
     docs = frame(spark, [text, text, "short", None], ids=[None, None, 3, 4])
