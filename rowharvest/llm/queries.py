@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowharvest.llm import chat, chunked_bpe, decontaminate, language, lines, personal_data, suffixes, trie_lm, vectors, weighted_minhash
+from rowharvest.llm import (chat, chunked_bpe, decontaminate, divergence, language, lines, personal_data, runs, suffixes, token_files, trie_lm,
+                            vectors, weighted_minhash)
 from rowharvest.llm.common import remainder, table_reader
+from rowharvest.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,7 +46,7 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_recurring(table_reader(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeats"))
 
 
 @query()
@@ -116,3 +120,53 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = [of_kind(kind).alias(f"n_{kind}") for kind in personal_data.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query()
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to the shared folder and read back from the files."""
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(table_reader(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"))
+
+    def digests(keys: pa.Array, places: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        wide, at = ids.astype("<u4"), places - places[0]
+        return pa.RecordBatch.from_arrays(
+            [keys, pa.array(places[:-1]), pa.array(np.diff(places)), pa.array([zlib.crc32(wide[a:b]) for a, b in zip(at, at[1:])], pa.int64())],
+            names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return token_files.map_documents(spark, path, digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+@query()
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    found = runs.find_runs(table_reader(spark, sf_dir, "documents"), seed=seed)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+                         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
+                        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query(r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+     w AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+     k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+     v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+     c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     s AS (SELECT lang, source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+     p AS (SELECT lang, s.source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.n + 2 * v.v)::HUGEINT AS p,
+                  1 + (1000000000::HUGEINT * (k.total + 2)) // (v.n + 2 * v.v)::HUGEINT AS q
+           FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+     b AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+           FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     f AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+           FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN b ON b.lang = x.lang AND b.source = x.source AND b.item = y.source
+           UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f) WHERE part = 'pair' OR rank <= 10""")
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table_reader(spark, sf_dir, "documents"))
