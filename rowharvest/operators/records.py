@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowharvest.functions import values as V
-from rowharvest.operators.skew import RANGE_ROWS, ordered_index
+from rowharvest.operators.skew import RANGE_ROWS, first_rows
 
 NEAR_LIMIT = 0.8
 
@@ -29,24 +29,14 @@ def count_duplicates(records: DataFrame, keys: list[str], identity: list[str]) -
         F.sum("n").alias("total"), F.count("*").alias("kept"), (F.sum("n") - F.count("*")).alias("duplicates"))
 
 
-def cap(records: DataFrame, keys: list[str], order: str, limit: int, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The first ``limit`` records of every key by the numeric or time column ``order``.
+def cap(records: DataFrame, keys: list[str], order: str, limit: int, range_rows: int = RANGE_ROWS, ties: list[str] | None = None) -> DataFrame:
+    """The first ``limit`` records of every key by the column ``order``; records without an order value come last.
 
-    Exact whatever the sizes: keys within the limit are kept as they are, and a key beyond it is cut at the
-    order value of its ``limit``-th row, which is found range by range. Of rows with just that value the first
-    by their other columns are kept, as many as fit.
+    Exact whatever the sizes: a key's records are counted by ranges of the order, the ranges behind its ``limit``-th record are
+    dropped unsorted, and only ranges are ranked. Of records with one order value the first by ``ties`` (by their
+    other columns, if not given) are kept. A null key is a key like any other.
     """
-    sizes = records.groupBy(*keys).agg(F.count("*").alias("_n"))
-    over = sizes.where(F.col("_n") > limit).select(*keys)
-    ranked = ordered_index(records.select(*keys, order).join(over, keys, "left_semi"), keys, order, range_rows)
-    cuts = ranked.where(F.col("idx") == limit - 1).select(*keys, F.col(order).alias("_cut"))
-    marked = records.join(cuts, keys, "left")
-    before = marked.where(F.col("_cut").isNull() | (F.col(order) < F.col("_cut"))).drop("_cut")
-    ties = marked.where(F.col(order) == F.col("_cut")).drop("_cut")
-    room = ranked.join(cuts, keys).groupBy(*keys).agg((limit - F.count_if(F.col(order) < F.col("_cut"))).alias("_room"))
-    rest = [F.to_json(F.struct(*[c for c in records.columns if c not in (*keys, order)]))]
-    first = ties.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*rest))).where(F.col("_n") <= limit)
-    return before.unionByName(first.join(room, keys).where(F.col("_n") <= F.col("_room")).drop("_n", "_room"))
+    return first_rows(records, keys, order, limit, range_rows, ties)
 
 
 def last_batches(records: DataFrame, session: str = "session_id", batch: str = "batch_id", order: str = "seq") -> DataFrame:

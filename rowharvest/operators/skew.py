@@ -1,61 +1,69 @@
-"""Ranks that stay balanced when one key holds a large share of the rows."""
+"""Ranks that stay balanced when one key, or one order value, holds a large share of the rows."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rowharvest.session import materialize
 
 #: Rows one ranking task may sort.
 RANGE_ROWS = 2_000_000
-COARSE = 64
-MAX_FINE = 4096
 
 
-def _as_number(df: DataFrame, order: str) -> Column:
-    is_time = df.schema[order].dataType.typeName().startswith("timestamp")
-    return F.unix_micros(F.col(order).cast("timestamp")) if is_time else F.col(order)
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _has_map(kind.elementType))
+
+
+def comparable(df: DataFrame, column: str) -> Column:
+    """A column to sort by; maps, which have no order, by their JSON text."""
+    return F.to_json(F.struct(column)) if _has_map(df.schema[column].dataType) else F.col(column)
+
+
+def same_values(left: str, right: str, columns: list[str]) -> Column:
+    """Join condition: equal in all columns, nulls equal too."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns], F.lit(True))
 
 
-def rank_ranges(df: DataFrame, order: str, range_rows: int) -> Column | None:
-    """Range number of the order value, such that no range should hold many more than
-    ``range_rows`` rows; None when the whole table is that small.
+def ordered_index(df: DataFrame, keys: list[str], order: str, range_rows: int = RANGE_ROWS, ties: list[str] | None = None) -> DataFrame:
+    """Adds ``idx``, the zero-based rank of each row within ``keys`` by ``order``, rows without an order value last.
 
-    One aggregation sketches 63 equal-share borders; large tables are cut evenly between
-    those. The borders only decide how rows are spread: any borders give exact ranks.
+    Rows of one order value are ranked by the columns ``ties`` (by all others, if not given), so only rows that are equal in
+    every column may change places. Null keys are a key like any other.
+
+    A plain ranking window would sort all rows of a key in one task. Larger tables are dealt into ranges of the composite
+    order (order value, ties, place in the input) first, of about ``range_rows`` each, and written; a value that very many
+    rows share, null among them, thus fills several ranges. Each range is ranked by itself and shifted by the rows of its key in the ranges before it.
     """
-    value = _as_number(df, order)
-    shares = [i / COARSE for i in range(1, COARSE)]
-    low, high, n, borders = df.agg(F.min(value), F.max(value), F.count("*"), F.percentile_approx(value, shares, 1000)).first()
+    return _ranked(df, keys, order, range_rows, ties, None)
+
+
+def first_rows(df: DataFrame, keys: list[str], order: str, limit: int, range_rows: int = RANGE_ROWS, ties: list[str] | None = None) -> DataFrame:
+    """The first ``limit`` rows of every key in the order of ``ordered_index``; ranges behind the last one needed are not ranked."""
+    return _ranked(df, keys, order, range_rows, ties, limit).where(F.col("idx") < limit).drop("idx")
+
+
+def _ranked(df: DataFrame, keys: list[str], order: str, range_rows: int, ties: list[str] | None, limit: int | None) -> DataFrame:
+    rest = ties if ties is not None else [c for c in df.columns if c not in (*keys, order)]
+    by = [F.col(order).asc_nulls_last(), *[comparable(df, c) for c in rest]]
+    per_key = [F.col(k) for k in keys] or [F.lit(0)]
+    n = df.count()
     if n <= range_rows:
-        return None
-    fine = int(max(1, min(MAX_FINE, n // (COARSE * range_rows))))
-    lows = F.array(*[F.lit(b) for b in [low, *borders]])
-    highs = F.array(*[F.lit(b) for b in [*borders, high]])
-    # Plain terms: an array function that looks at the order column inside is moved to where that column is not.
-    coarse = sum(((F.lit(b) < value).cast("int") for b in borders), F.lit(0))
-    if fine == 1:
-        return coarse
-    span = F.greatest(F.get(highs, coarse) - F.get(lows, coarse), F.lit(1))
-    part = F.least(F.floor((value - F.get(lows, coarse)) * F.lit(fine) / span), F.lit(fine - 1))
-    return coarse * fine + F.greatest(part, F.lit(0))
-
-
-def ordered_index(df: DataFrame, keys: list[str], order: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Adds ``idx``, the zero-based rank of each row within ``keys`` by the unique column ``order``.
-
-    A plain ranking window would sort all rows of a key in one task. Large tables are cut
-    into ranges of the order column first: each range is ranked by itself and shifted by
-    the number of rows in the ranges before it. ``order`` must be numeric or a timestamp.
-    """
-    ranges = rank_ranges(df, order, range_rows)
-    if ranges is None:
-        by = keys or [F.lit(0)]
-        return df.withColumn("idx", (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long"))
-    placed = df.withColumn("_range", ranges)
-    counts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    by = keys or [F.lit(0)]
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(*keys, "_range", "_shift")
-    inside = Window.partitionBy(*keys, "_range").orderBy(order)
-    return placed.join(shifts, [*keys, "_range"]).withColumn(
-        "idx", (F.row_number().over(inside) - 1 + F.col("_shift")).cast("long")).drop("_range", "_shift")
+        inside = Window.partitionBy(*per_key).orderBy(*by)
+        return df.withColumn("idx", (F.row_number().over(inside) - 1).cast("long"))
+    ranges = -(-n // range_rows)
+    spread = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(ranges, *by, "_row").drop("_row")
+    placed = materialize(spread.withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))  # a row per key and range
+    earlier = Window.partitionBy(*per_key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    if limit is not None:
+        shifts = shifts.where(F.col("_shift") < limit)
+    joined = placed.alias("r").join(shifts.alias("s"), same_values("r", "s", [*keys, "_range"])).select("r.*", "s._shift")
+    inside = Window.partitionBy(*per_key, "_range").orderBy(*by)
+    return joined.withColumn("idx", (F.row_number().over(inside) - 1 + F.col("_shift")).cast("long")).select(*df.columns, "idx")

@@ -46,6 +46,27 @@ def ranked_events(spark, sf_dir):
     return skew.ordered_index(df, ["event_type"], "ts", range_rows=2000).select("event_id", "event_type", "idx")
 
 
+#: Events with missing types, missing and often repeated order values.
+_GAPS = """SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS kind, CASE WHEN event_id % 7 <> 0 THEN user_id % 11 END AS place FROM events"""
+
+
+def events_with_gaps(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("kind"),
+                                        F.when(F.col("event_id") % 7 != 0, F.col("user_id") % 11).alias("place"))
+
+
+@query(f"""SELECT event_id, kind FROM ({_GAPS}) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY place NULLS LAST, event_id) <= 700""")
+def capped_gaps(spark, sf_dir):
+    """Ties and missing values under a cap, range by range; a missing key is capped like any other."""
+    return records.cap(events_with_gaps(spark, sf_dir), ["kind"], "place", 700, range_rows=1000, ties=["event_id"]).select("event_id", "kind")
+
+
+@query(f"""SELECT event_id, kind, row_number() OVER (PARTITION BY kind ORDER BY place NULLS LAST, event_id) - 1 AS idx FROM ({_GAPS})""")
+def ranked_gaps(spark, sf_dir):
+    df = events_with_gaps(spark, sf_dir)
+    return skew.ordered_index(df, ["kind"], "place", range_rows=1000, ties=["event_id"]).select("event_id", "kind", "idx")
+
+
 _QUALITY = [Field("text", "Text"), Field("quality", "Quality", "number", required=True)]
 
 

@@ -49,6 +49,21 @@ def test_apply_plan_and_quality(wide):
     assert choose_plan(fixed, (copies, copy_fields), ["session_id"]).first()["chosen"] == "first"
 
 
+def test_plans_over_records_without_values(spark):
+    plan = F.struct(
+        F.lit("Parts").alias("recordType"),
+        F.array(F.struct(F.lit("Name").alias("name"), F.lit("text").alias("type"), F.array(F.lit("a")).alias("sources"), F.lit("copy").alias("operation"),
+                         F.lit("").alias("pattern"), F.lit(False).alias("multiple"), F.lit("").alias("reason"), F.lit(1.0).alias("confidence"))).alias("fields"),
+        F.array().cast("array<string>").alias("droppedSources"), F.array().cast("array<string>").alias("deduplicateBy"), F.lit("").alias("summary"))
+    plans = spark.range(1).select(F.lit("s").alias("session_id"), plan.alias("plan"))
+    rows = from_wide(spark.createDataFrame([("s", 1, "x"), ("s", 2, "x"), ("s", 3, None)], "session_id string, seq long, a string"), [Field("a", "A")],
+                     ("session_id", "seq")).withColumn("original_values", F.lit(1)).withColumn("fingerprint", F.lit(""))
+    bare = rows.withColumn("values", F.map_filter("values", lambda k, v: F.lit(False))).withColumn("seq", F.col("seq") + 10)
+    missing = rows.withColumn("values", F.lit(None).cast(dict(rows.dtypes)["values"])).withColumn("seq", F.col("seq") + 20)
+    got = apply_plans(rows.unionByName(bare).unionByName(missing), plans, ["session_id"], "seq").collect()
+    assert [(r.seq, r["values"]["Name"]["str"]) for r in got] == [(1, "x")]
+
+
 def test_operations(spark):
     df = spark.createDataFrame([(1, "", "b ", 3.0, ["x", "y"], "1.234,50", "3 Jan 2024", "a1 B2 a1"), (2, None, "", None, None, "", "", "")],
                                "seq long, a string, b string, n double, t array<string>, p string, d string, r string")

@@ -66,6 +66,38 @@ def test_ordered_index(rows):
     assert {r.seq: r.idx for r in skew.ordered_index(timed, ["session_id"], "at", 100).collect()} == want
 
 
+def rank_rows(rows):
+    """Rows (key, order, name) with their rank, missing order values last."""
+    ranks, seen = [], {}
+    for key, order, name in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+        ranks.append((key, order, name, seen.get(key, 0)))
+        seen[key] = seen.get(key, 0) + 1
+    return ranks
+
+
+@pytest.mark.parametrize("range_rows", [10, 60, 10**6])
+def test_ranks_and_caps_with_missing_keys_and_order_values(spark, range_rows):
+    rnd = random.Random(range_rows)
+    data = [(rnd.choice(("k", "k", "k", "m", None)), rnd.choice((None, 1, 2, 2, 2, 9)), i) for i in range(1000)]
+    df = spark.createDataFrame(data, "key string, at long, name long").withColumn("extra", F.create_map(F.lit("a"), "name"))
+    want = rank_rows(data)
+    got = skew.ordered_index(df, ["key"], "at", range_rows, ties=["name"])
+    assert sorted(map(tuple, got.select("key", "at", "name", "idx").collect()), key=repr) == sorted(want, key=repr)
+    for limit in (1, 50, 400):
+        kept = records.cap(df, ["key"], "at", limit, range_rows, ties=["name"])
+        assert kept.columns == df.columns
+        assert sorted(map(tuple, kept.select("key", "at", "name").collect()), key=repr) == sorted(
+            [r[:3] for r in want if r[3] < limit], key=repr)
+
+
+def test_equal_rows_of_one_key_are_spread_over_ranges(spark):
+    df = spark.range(3000).select(F.lit(None).cast("string").alias("key"), F.lit(7).alias("at"))
+    assert records.cap(df, ["key"], "at", 1234, range_rows=100).count() == 1234
+    assert [r.idx for r in skew.ordered_index(df, ["key"], "at", 100).orderBy("idx").collect()] == list(range(3000))
+    assert [r.idx for r in skew.ordered_index(df.drop("key"), [], "at", 100).orderBy("idx").collect()] == list(range(3000))
+    assert records.cap(df.limit(0), ["key"], "at", 5, range_rows=100).count() == 0
+
+
 def test_batches_and_stats(spark, rows, tmp_path):
     stats = {r.session_id: r for r in records.capture_stats(rows, ["session_id"], max_records=50).collect()}
     b = brute(rows)
