@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime SQL settings the plans are written for. Every page-level join is on
@@ -77,20 +76,3 @@ def temporary() -> Iterator[None]:
         written, _open.paths = _open.paths, outer
         for spark, path in written:
             spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
-
-
-@contextmanager
-def gathered(df: DataFrame, key: str) -> Iterator[DataFrame]:
-    """``df`` hash-partitioned by ``key`` once and cached, for the length of a ``with`` block.
-
-    Joins and aggregations on ``key`` plus anything finer then need no further shuffle of
-    it, however many of them there are. Lost blocks are computed again from ``df``, so it
-    should be a written table. The partition count is fixed: adaptive execution must not
-    change it behind the joins that rely on it.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = df.repartition(partitions, key).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield held
-    finally:
-        held.unpersist()

@@ -405,15 +405,15 @@ def page_nodes(pages: DataFrame) -> DataFrame:
 
 
 def spread(pages: DataFrame) -> DataFrame:
-    """Give every core a share when the input has fewer partitions than cores.
+    """Give every core a share when the input has fewer files than cores.
 
-    Page rows are few and heavy, and a small table often is one file. Large inputs have
-    more splits than cores and are left as they are, without a shuffle.
+    Page rows are few and heavy, and a small table often is one file. Tables of more files are left as they are,
+    without a shuffle, and so is all that does not come straight from files.
     """
     if pages.isStreaming:
         return pages
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores * 2)
+    return pages.repartition(cores * 2) if 0 < len(pages.inputFiles()) < cores else pages
 
 
 def _to_batch(rows, arrow: pa.Schema) -> pa.RecordBatch:
@@ -429,25 +429,20 @@ def text_of(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """Text content of the target elements: ``targets`` (page_id, pre) plus ``text`` and ``raw_text``.
 
     The node table stores every piece of text once, on its own element. A subtree's text
-    is put together here for the elements asked for only, so nothing is stored once per
-    nesting level. ``text`` is NFKC form, ``raw_text`` the text as written.
+    is put together here for the elements asked for only: an element without children has its own pieces, any other the pieces
+    of the places up to its last descendant. ``text`` is NFKC form, ``raw_text`` the text as written.
     """
-    wanted = targets.select("page_id", F.col("pre").alias("target")).distinct()
-    pieces = (
-        nodes.where(F.size("chunks") > 0)
-        .select("page_id", F.explode(F.array_append("ancestors", F.col("pre"))).alias("target"), "chunks")
-        .join(wanted, ["page_id", "target"], "left_semi")
-    )
-    joined = pieces.groupBy("page_id", "target").agg(
-        F.array_sort(F.flatten(F.collect_list("chunks"))).alias("chunks"))
-    found = joined.select(
-        "page_id", F.col("target").alias("pre"),
-        F.array_join(F.transform("chunks", lambda c: c["txt"]), "").alias("text"),
-        F.array_join(F.transform("chunks", lambda c: F.coalesce(c["raw"], c["txt"])), "").alias("raw_text"),
-    )
-    return (wanted.withColumnRenamed("target", "pre").join(found, ["page_id", "pre"], "left")
-            .select("page_id", "pre", F.coalesce("text", F.lit("")).alias("text"),
-                    F.coalesce("raw_text", F.lit("")).alias("raw_text")))
+    wanted = targets.select("page_id", "pre").distinct()
+    asked = nodes.select("page_id", "pre", "last", "chunks").join(wanted, ["page_id", "pre"])
+    places = asked.where(F.col("last") > F.col("pre")).select(
+        "page_id", F.col("pre").alias("target"), F.explode(F.sequence("pre", "last")).alias("pre"))
+    pieces = nodes.where(F.size("chunks") > 0).select("page_id", "pre", "chunks").join(places, ["page_id", "pre"])
+    joined = pieces.groupBy("page_id", F.col("target").alias("pre")).agg(F.array_sort(F.flatten(F.collect_list("chunks"))).alias("chunks"))
+    silent = asked.where(F.col("last") > F.col("pre")).select("page_id", "pre").join(joined, ["page_id", "pre"], "left")
+    whole = asked.where(F.col("last") == F.col("pre")).select("page_id", "pre", "chunks").unionByName(silent.select("page_id", "pre", "chunks"))
+    return whole.select(
+        "page_id", "pre", F.coalesce(F.array_join(F.transform("chunks", lambda c: c["txt"]), ""), F.lit("")).alias("text"),
+        F.coalesce(F.array_join(F.transform("chunks", lambda c: F.coalesce(c["raw"], c["txt"])), ""), F.lit("")).alias("raw_text"))
 
 
 def own_text(chunks="chunks"):
