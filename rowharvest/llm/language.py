@@ -18,6 +18,8 @@ from rowharvest.llm.common import remainder, stored
 LONGEST_PIECE = 16
 #: Words are cut after so many bytes (at a whole character), so that a word's probability is a normal number.
 LONGEST_WORD = 32
+#: Text that is scored at once.
+SCORE_BYTES = 1 << 20
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -147,7 +149,7 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return first, inverse
 
 
-def by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(indexes, word matrix) of words of one length, at most ``limit`` at once."""
     lengths = ends - starts
     order = np.argsort(lengths, kind="stable")
@@ -169,22 +171,25 @@ class Model:
     def score(self, vocabulary: Vocabulary, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """(language, probability of it) for every text."""
         predicted, sure = [], []
-        for first, stop, data, offsets in K.slices(column, 8 << 20):
+        at_once = max(500, 40_000 // len(self.languages))  # words: their tables are words x languages x places
+        for first, stop, data, offsets in K.slices(column, SCORE_BYTES):
             starts, ends, rows = cut_words(data, offsets)
             totals = np.zeros((stop - first, len(self.languages)))
             if len(starts):
                 one, inverse = distinct_words(data, starts, ends)
                 logs = np.empty((len(one), len(self.languages)))
-                for part, matrix in by_length(data, starts[one], ends[one]):
+                for part, matrix in by_length(data, starts[one], ends[one], at_once):
                     logs[part] = np.log(forward(vocabulary, matrix, self.p))
                 for g in range(len(self.languages)):
                     totals[:, g] = np.bincount(rows, weights=logs[inverse, g], minlength=stop - first)
             best = totals.argmax(axis=1)
             chance = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
-            letters = np.concatenate(([0], np.cumsum((K.LOWER[data] >= 97) & (K.LOWER[data] <= 122))))
-            letters = np.diff(letters[offsets]) > 0
+            letters, some = np.zeros(stop - first, bool), np.flatnonzero(np.diff(offsets))
+            if len(some):
+                letters[some] = np.logical_or.reduceat((K.LOWER[data] >= 97) & (K.LOWER[data] <= 122), offsets[some])
             for i in np.flatnonzero(~letters).tolist():
                 letters[i] = bool(LETTER.search(bytes(data[offsets[i]:offsets[i + 1]]).decode("utf-8", "replace")))
+            del starts, ends, rows
             predicted += [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
             sure.append(np.where(letters, chance, 0.0))
         return predicted, np.concatenate(sure) if sure else np.empty(0)
@@ -277,6 +282,7 @@ def predict_language(docs: DataFrame, model: Model, *, id_col: str = "doc_id", t
         vocabulary = vocabulary_at(path)
         for batch in batches:
             names, scores = predict(vocabulary, batch.column("text"))
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
 
@@ -292,6 +298,7 @@ def keep_known_languages(docs: DataFrame, model: Model, *, min_score: float = 0.
         vocabulary = vocabulary_at(path)
         for batch in batches:
             names, scores = predict(vocabulary, batch.column(text_col))
+            pa.default_memory_pool().release_unused()
             yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
