@@ -17,7 +17,7 @@ from rowharvest.llm.common import stored
 
 U64 = np.uint64
 #: Text of one block, and text whose n-grams make one shard.
-BLOCK_BYTES, SHARD_BYTES = 12 << 20, 24 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 12 << 20
 #: Hashes that stand for the end of a text (a token) and for its begin (a context only).
 END, BEGIN = U64(0xE2D00000000000E5), U64(0xB5610000000000B1)
 #: log10 gains are kept in 16 bits: 0 to 20 in steps of 0.0003.
@@ -258,15 +258,16 @@ def score_texts(docs: DataFrame, *, held: Column, prior: float = 4.0, id_col: st
         """(owner, corpus count and context's count of each token, place of its bigram, bigrams' shards, keys and word counts): a block's distinct
         bigrams by shard and key, the same whenever they are asked for."""
         tokens, owner, _ = block_tokens(row)
-        _, inverse = np.unique(tokens, return_inverse=True)
-        c = np.concatenate([_unpack(a["counts"], np.int64) for a in row["answers"]])[inverse]
+        c = np.concatenate([_unpack(a["counts"], np.int64) for a in row["answers"]])[np.unique(tokens, return_inverse=True)[1]]
         before, c_before = np.empty_like(tokens), np.empty_like(c)
         before[1:], c_before[1:] = tokens[:-1], c[:-1]
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         before[first], c_before[first] = BEGIN, starts
         half = U64(64 - key_bits // 2)
         key = tokens >> half << U64(key_bits // 2) | K.mix(before) >> half
-        route = np.where(c > spread, K.mix(tokens ^ K.mix(before)), K.mix(tokens)) % U64(shards)
+        route = np.where(c > spread, K.mix(tokens ^ K.mix(before)), K.mix(tokens))
+        del tokens, before  # a block is some million tokens, so arrays go as soon as they can
+        route %= U64(shards)
         order = np.lexsort((key, route))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(key[order]) != 0) | (np.diff(route[order]) != 0)
