@@ -1,5 +1,6 @@
 """Queries over record sets: duplicates, caps, batches, search, profiles, quality."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rowharvest.fields import Field
@@ -7,7 +8,7 @@ from rowharvest.operators import profile, records, skew
 from rowharvest.operators.extract import from_wide, is_incomplete, kind_of
 from rowharvest.queries import query, table
 from rowharvest.session import scratch_path
-from rowharvest.sinks import store
+from rowharvest.sinks import export, store
 from rowharvest.sources.pages import latest_snapshot
 
 
@@ -134,6 +135,39 @@ def newest_states(spark, sf_dir):
 
 ORDER_FIELDS = [Field("o_orderpriority", "Priority"), Field("o_totalprice", "Price", "price"), Field("rare", "Rare"),
                 Field("secret", "Secret", hidden=True)]
+EXPORT_FIELDS = [Field("o_orderpriority", "Priority"), Field("o_totalprice", "Price", "price")]
+_NUMBERED = "CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS INT)"
+
+
+def exported_orders(spark, sf_dir):
+    order = F.date_diff("o_orderdate", F.lit("1990-01-01").cast("date")).cast("long") * 100_000_000 + F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(order.alias("seq"), "o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+def _lines(spark, path, separator):
+    """The lines of a file with their numbers."""
+    text = spark.read.option("lineSep", separator).text(path).withColumn("at", F.monotonically_increasing_id())
+    return text.withColumn("line", F.row_number().over(Window.orderBy("at")))
+
+
+@query(f"""SELECT {_NUMBERED} AS line, o_orderpriority AS priority, o_totalprice AS price FROM orders""")
+def exported_json(spark, sf_dir):
+    """One ordered JSON array, written by many tasks, read back line by line."""
+    path = scratch_path(spark, "json")
+    export.write_json(exported_orders(spark, sf_dir), EXPORT_FIELDS, path, "seq")
+    record = F.from_json(F.regexp_replace("value", r"^[\[,]|\]$", ""), "Priority string, Price double")
+    return _lines(spark, path, "\n").select("line", record.alias("r")).select("line", F.col("r.Priority").alias("priority"), F.col("r.Price").alias("price"))
+
+
+@query(f"""SELECT {_NUMBERED} + 1 AS line, '"' || o_orderpriority || '","' || regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') || '"' AS text FROM orders
+  UNION ALL SELECT 1, chr(65279) || '"Priority","Price"'""")
+def exported_csv(spark, sf_dir):
+    """One ordered CSV file with its header."""
+    path = scratch_path(spark, "csv")
+    export.write_csv(exported_orders(spark, sf_dir), EXPORT_FIELDS, path, single_file=True, order="seq")
+    return _lines(spark, path, "\r\n").select("line", F.col("value").alias("text"))
+
+
 _PROFILE = """WITH s AS (SELECT o_orderstatus AS session_id, o_orderkey AS idx, *, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS rare FROM orders),
 c AS (SELECT session_id, idx, 'o_orderpriority' AS id, o_orderpriority AS v FROM s UNION ALL
       SELECT session_id, idx, 'o_totalprice', regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') FROM s UNION ALL

@@ -6,6 +6,7 @@ from rowharvest import schemas
 from rowharvest.queries import query, table
 from rowharvest.queries.page_tables import ENCODE, HREF, LABEL, LINKS, MENU, MENU_FIELDS, ORIGIN
 from rowharvest.session import scratch_path
+from rowharvest.sinks import store
 from rowharvest.streaming import capture as C
 
 
@@ -49,7 +50,7 @@ def streamed_cap(spark, sf_dir):
     rows = event_stream(spark, sf_dir).select(F.col("event_type").alias("session_id"), F.col("event_id").alias("seq"), F.lit(False).alias("incomplete"))
     path = scratch_path(spark, "store")
     C.run_available(C.stream_to_store(rows, path, scratch_path(spark, "ledger"), scratch_path(spark, "checkpoint"), max_records=900))
-    return spark.read.parquet(path).select("session_id", "seq")
+    return store.read_records(spark, path).select("session_id", "seq")
 
 
 _STREAMED = f"""SELECT DISTINCT page_id, {LABEL} AS label, {ORIGIN} || {ENCODE.format(HREF)} AS target FROM ({LINKS})"""
@@ -68,7 +69,7 @@ def streamed_records(spark, sf_dir):
     C.run_available(C.stream_to_store(fresh, path, scratch_path(spark, "ledger"), scratch_path(spark, "checkpoint")))
     page = (F.unix_seconds("captured_at") - 1_700_000_000).cast("string")
     v = F.col("values")
-    return spark.read.parquet(path).select(F.md5(page).alias("page"), v["label"]["str"].alias("label"), v["target"]["str"].alias("target"))
+    return store.read_records(spark, path).select(F.md5(page).alias("page"), v["label"]["str"].alias("label"), v["target"]["str"].alias("target"))
 
 
 #: Errors of a user between two other events are one wait: up to three retries, and a completion if another event follows.

@@ -20,6 +20,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # State with timers and time-to-live; it is kept on disk, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

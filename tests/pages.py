@@ -11,22 +11,24 @@ def cards():
 
 
 def table():
-    return (
-        "<table><thead><tr><th rowspan=2>Name</th><th colspan=2>Contact</th><th rowspan=2>Joined</th></tr>"
-        "<tr><th>Email</th><th>Phone</th></tr></thead><tbody>"
-        + "".join(f"<tr><td>Person {i}</td><td>p{i}@example.test</td><td>+44 20 5550 100{i}</td>"
-                  f"<td><time datetime=2024-01-0{i}>{i} Jan 2024</time></td></tr>" for i in (1, 2, 3))
-        + "</tbody></table>")
+    """Berths of a harbour: a heading over three columns, two single ones, one of them with a line below it."""
+    berths = [("North quay", "north@port.example", "0047 22 18 40", "Oslo", "840"), ("Inner basin", "basin@port.example", "0047 55 30 12", "Bergen", "1120"),
+              ("Timber wharf", "wharf@port.example", "0047 73 99 01", "Trondheim", "95")]
+    body = "".join(f"<tr><td>{name}</td><td>{mail}</td><td>{line}</td><td><em>{town}</em></td><td>{fee} EUR</td></tr>" for name, mail, line, town, fee in berths)
+    return ("<table class=berths><thead><tr><th rowspan=2>Berth</th><th colspan=3>Agent</th><th>Fee</th></tr>"
+            f"<tr><th>Mail</th><th>Line</th><th>Town</th><th>per night</th></tr></thead><tbody>{body}</tbody></table>")
 
 
 def ads():
-    return "<main><section id=ads>" + "".join(
-        f'<div class="{"y_%d selected" % i if i % 2 else "css-%d panel" % i}"><div><span>Active</span>'
-        f"<div>Library ID: {7000 + i}</div><span>Started running on July {i + 1}, 2025</span></div>"
-        f'<div class="art-{i}"><a href="/about/{i}"><strong>Maker {i}</strong></a><span>Sponsored</span>'
-        f"<p>Bulk supply of part {i}</p></div>"
-        + (f'<video src="/m/{i}.mp4"></video>' if i % 2 else f'<img src="/m/{i}.jpg" alt="Art {i}">') + "</div>"
-        for i in range(6)) + "</section></main>"
+    """Notices that are built in two ways: pictures stand before the text or films behind it."""
+    def notice(i):
+        words = (f"<p>Library ID: N-{300 + 7 * i}</p><p class=when>Started running on {10 + i} March 2023</p>"
+                 f'<a href="/firms/{i}"><b>Firm {"ABCDEF"[i]}</b></a><em>Sponsored</em><q>Crates of kind {i}, by the pallet</q>')
+        if i % 3 == 0:
+            return f'<li class="jsx-{i} notice"><img src="/pictures/{i}.png" alt="Crate {i}"><div>{words}</div></li>'
+        return f'<li class="note_{i}{i}{i}{i} notice"><div>{words}</div><video src="/films/{i}.webm"></video></li>'
+
+    return "<main><ul id=board>" + "".join(notice(i) for i in range(6)) + "</ul></main>"
 
 
 def market():
@@ -40,10 +42,9 @@ def market():
 
 
 def duplicates():
-    rows = [("Alpha Ltd", "+1 555 1010"), ("Alpha Ltd", "+1 555 1010"), ("Beta Ltd", "+1 555 2020"), ("", "unknown")]
-    return "<section>" + "".join(
-        f'<article class="entry line"><h2 class="label">{n}</h2><span class="phone">{p}</span></article>'
-        for n, p in rows) + "</section>"
+    """Ferries, one of them listed twice, and a row without a name."""
+    ferries = [("Kestrel", "Pier 204, deck 2048"), ("Heron", "Pier 77, deck 3101"), ("Kestrel", "Pier 204, deck 2048"), ("", "no pier")]
+    return "<ol>" + "".join(f'<li class="entry line"><h2 class="label">{name}</h2><i class="place">{place}</i></li>' for name, place in ferries) + "</ol>"
 
 
 def shadow():
@@ -64,14 +65,16 @@ def frame():
 
 
 def large(n=2000):
-    return "<section id=rows>" + "".join(
-        f'<article class="line data-line" data-id="{i}"><span class="label">Record {i}</span>'
-        f'<span class="amountx">{i * 1.25}</span></article>' for i in range(n)) + "</section>"
+    """A ledger of many short entries, every fourth of them with a remark."""
+    return "<dl id=ledger>" + "".join(
+        f"<div class=entry><dt>Entry no {7 * i + 3}</dt><dd class=sum>{i % 90}.{i % 10}0 EUR</dd>" + (f"<dd class=remark>seen in week {i % 52}</dd>" if i % 4 == 0 else "")
+        + "</div>" for i in range(n)) + "</dl>"
 
 
-def formulas():
-    return "<section>" + "".join(f'<article class="line case"><span class="cell">{v}</span></article>' for v in
-                                 ('=HYPERLINK("https://x.test")', "+SUM(1,1)", "-2+3", "@IMPORT")) + "</section>"
+def signs():
+    """Values that a spreadsheet would run."""
+    return "<ul>" + "".join(f"<li><code class=cell>{value}</code><small>{note}</small></li>" for value, note in (
+        ("@SUM(A1:A9)", "a sum"), ("=A2", "a link"), ("-B7", "a change of sign"), ("+C4*2", "a product"))) + "</ul>"
 
 
 def private():
@@ -82,7 +85,7 @@ def private():
 
 PAGES = {1: ("cards", cards()), 2: ("table", table()), 3: ("ads", ads()), 4: ("market", market()),
          5: ("duplicates", duplicates()), 6: ("shadow", shadow()), 7: ("frame", frame()),
-         8: ("frame-child", frame_child()), 9: ("large", large()), 10: ("formulas", formulas()),
+         8: ("frame-child", frame_child()), 9: ("large", large()), 10: ("signs", signs()),
          11: ("private", private())}
 ID = {name: number for number, (name, _) in PAGES.items()}
 

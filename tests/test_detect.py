@@ -47,8 +47,8 @@ def test_cards(found, schema):
 def test_table_headers(found, schema):
     best = top(found, "table")
     fields = sorted(schema["table"][1, best.item_css].values(), key=lambda f: f.field_no)
-    assert [f.name for f in fields] == ["Name", "Contact Email", "Contact Phone", "Joined"]
-    assert [f.type for f in fields] == ["text", "email", "phone", "text"]
+    assert [f.name for f in fields] == ["Berth", "Agent Mail", "Agent Line", "Agent Town", "Fee per night"]
+    assert [f.type for f in fields] == ["text", "email", "phone", "text", "price"]
     assert best.item_count == 3 and fields[0].required and not fields[1].required
 
 
@@ -69,7 +69,7 @@ def test_shadow_and_large(found):
     best = top(found, "shadow")
     assert best.item_count == 6 and best.container_css.startswith("html > body > main > goods-grid >>> ") or ">>>" in best.container_css
     big = top(found, "large")
-    assert big.item_count == 2000 and big.container_css == "#rows"
+    assert big.item_count == 2000 and big.container_css == "#ledger"
 
 
 def test_records_of_detected_collections(nodes, found):
@@ -87,17 +87,18 @@ def test_records_of_detected_collections(nodes, found):
 def test_declared_fields(spark, nodes):
     fields = [
         Field("name", "Name", "text", (Locator.by_class("b", "missing"), Locator.by_class("h2", "label")), required=True),
-        Field("phone", "Phone", "phone", (Locator.by_class("span", "phone"),)),
+        Field("place", "Place", "text", (Locator.by_class("i", "place"),)),
         Field("digits", "Digits", "text", pattern=r"(\d{3})", multiple=True),
         Field("first", "First", "text", pattern=r"(\d{3,4})"),
     ]
-    items = nodes.where((F.col("page_id") == ID["duplicates"]) & (F.col("tag") == "article")).select(
+    items = nodes.where((F.col("page_id") == ID["duplicates"]) & (F.col("tag") == "li")).select(
         "page_id", F.lit("c").alias("cid"), F.col("pre").alias("item"), F.col("child_idx").alias("ord"))
     rows = extract.extract_records(nodes, items, extract.fields_table(spark, fields, "c")).orderBy("ord").collect()
-    assert [r["values"]["name"].str for r in rows] == ["Alpha Ltd", "Alpha Ltd", "Beta Ltd", None]
+    assert [r["values"]["name"].str for r in rows] == ["Kestrel", "Heron", "Kestrel", None]
     assert [r.incomplete for r in rows] == [False, False, False, True]
-    assert rows[0].fingerprint == rows[1].fingerprint != rows[2].fingerprint
-    assert rows[0]["values"]["digits"].arr == ["555", "101"] and rows[0]["values"]["first"].str == "555"
+    assert rows[0].fingerprint == rows[2].fingerprint != rows[1].fingerprint
+    assert rows[0]["values"]["digits"].arr == ["204", "204"] and rows[0]["values"]["first"].str == "204"
+    assert rows[1]["values"]["digits"].arr == ["310"] and rows[1]["values"]["first"].str == "3101"
     assert rows[3]["values"]["digits"].arr == [] and rows[3]["values"]["first"].str is None
     assert rows[0].source_url == BASE + "/duplicates"
 
@@ -140,3 +141,105 @@ def test_text_of_nested(spark):
     by_tag = {r.tag: rows[r.pre] for r in n.collect()}
     assert by_tag["div"].text == "abcdef & gfi" and by_tag["div"].raw_text == "abcdef & gﬁ"
     assert by_tag["b"].text == "bcd" and by_tag["p"].text == "f & g"
+
+
+def nested(depth):
+    return "<section>" * depth + "<p class=a>x</p><p>y</p>" + "</section>" * depth
+
+
+def shape(nodes):
+    """Descendants, links and tags below every element, element by element."""
+    rows = {r.pre: r for r in nodes.collect()}
+    out = {}
+    for pre, row in rows.items():
+        below = [rows[p] for p in range(pre + 1, row["last"] + 1)]
+        tags = {}
+        for r in below:
+            tags[r.tag] = tags.get(r.tag, 0) + 1
+        out[pre] = (len(below), sum(r.tag == "a" and "href" in r.attrs for r in below), tags, any(r.tag == "time" for r in below))
+    return out
+
+
+@pytest.mark.parametrize("html", [nested(30), "<div><a href=x>1<a>2</div><div><div><time>3</time><a href=y><div><a href=z></a></div></a></div><time>4</div><div></div>"])
+def test_profiles_equal_counts_element_by_element(spark, html):
+    n = materialize(page_nodes(spark.createDataFrame([(1, BASE, html), (2, BASE, "<p>other</p>")], "page_id long, url string, html string")), "n")
+    one = n.where("page_id = 1")
+    got = {r.pre: (r.element_count, r.links, r.histogram, r.has_cue) for r in structure.structural_profiles(n, one.select("page_id", "pre")).collect()}
+    assert got == shape(one)
+
+
+def test_thousands_of_nested_elements_are_few_rows(spark):
+    n = materialize(page_nodes(spark.createDataFrame([(1, BASE, nested(4000))], "page_id long, url string, html string")), "n")
+    profiles = structure.structural_profiles(n, n.where("tag = 'section'"))
+    assert profiles.where("pre < 10").agg(F.sum("element_count")).first()[0] > 4 * 3900
+    assert profiles.count() == 4000
+
+
+def test_a_container_of_very_many_kinds_elects_in_rounds(spark):
+    kinds = [(1, i, 0, i, "li", "", [f"t{i}"], {f"t{i}": 40 + i}, 40 + i, 5, 0, 0, 0, 0) for i in range(60) for _ in range(1)]
+    more = [(1, 60 + i, 0, 60 + i, "li", "", ["b"], {"b": 1}, 1, 5 + i % 2, 0, 0, 0, 0) for i in range(5)]
+    df = spark.createDataFrame([(r[0], r[1], r[2], r[3], *r[4:]) for r in kinds + more],
+                               "page_id long, pre int, parent int, child_idx int, tag string, role string, direct_tags array<string>, histogram map<string,int>, "
+                               "element_count int, text_length int, links int, images int, media int, semantic int")
+    whole = {tuple(r) for r in structure.cluster_children(df).collect()}
+    assert {tuple(r) for r in structure.cluster_children(df, block=7).collect()} == whole and len({r[2] for r in whole}) >= 1
+
+
+def passing(rows, css):
+    """Elements of one tree that pass a written child chain, step by step."""
+    import re
+
+    by = {r.pre: r for r in rows}
+
+    def step_ok(r, step):
+        tag, classes, nth = re.fullmatch(r"([a-z]+)((?:\.[\w-]+)*)(?::nth-of-type\((\d+)\))?", step).groups()
+        return r.tag == tag and set(classes.split(".")[1:]) <= set(r.classes) and (nth is None or r.nth == int(nth))
+
+    def ok(r):
+        for step in reversed(css.split(" > ")):
+            if r is None or not step_ok(r, step):
+                return False
+            r = by.get(r.parent)
+        return True
+
+    return [r.pre for r in rows if ok(r)]
+
+
+def test_written_paths_lead_to_one_element(spark):
+    html = ('<main><ul class="menu top"><li class=a>1<li class="a b">2<li class=selected>3</ul><ul class=menu><li class="b a">4<li>5<li><p>6<p class=z>7</ul>'
+            '<div><div><div><p>8</p></div></div></div><div><div><div><p>9</p></div></div></div><section id=s><p>10</p></section></main>')
+    n = materialize(page_nodes(spark.createDataFrame([(1, BASE, html)], "page_id long, url string, html string")), "n")
+    rows = n.collect()
+    got = {r.pre: r.css for r in structure.node_paths(n, n.where("depth > 0")).collect()}
+    by = {r.pre: r for r in rows}
+    for pre, css in got.items():
+        if css.startswith("#"):
+            assert by[pre].id == css[1:]
+        else:
+            assert passing(rows, css) == [pre], css
+            if " > " in css:  # no shorter tail would do
+                assert len(passing(rows, css.split(" > ", 1)[1])) > 1, css
+    assert got[next(r.pre for r in rows if r.classes == ["menu", "top"])] == "ul.menu.top"
+    assert len(got) == len(rows) - 1
+
+
+def test_choosing_every_item_of_a_list_is_one_collection(spark):
+    html = "<ul>" + "".join(f"<li><b>item {i}</b><i>{'x' * (i % 7)}</i></li>" for i in range(300)) + "</ul><p>alone</p>"
+    n = materialize(page_nodes(spark.createDataFrame([(1, BASE, html)], "page_id long, url string, html string")), "n")
+    members, _ = detect.nearest_likes(n, n.where("tag in ('b', 'p')").select("page_id", "pre"))
+    lists = n.where("tag = 'ul'").first()["pre"]
+    got = members.where(F.col("container") == lists)
+    assert got.select("pre").distinct().count() == 300 and got.count() <= 300 * got.select("cluster").distinct().count()
+    assert got.select("cluster").distinct().count() < 20
+
+
+def test_markup_leaves_hidden_parts_out_at_any_depth(spark):
+    html = ("<div hidden><p>in <b>hidden</b></p><p hidden>twice</p> tail</div><div id=t>a<script>s()</script><p onclick=x title='q\"'>b<i aria-hidden=true>c<u>d</u></i>e"
+            "<br>f</p><template>g</template>h<section><div hidden>i<p>j</p></div>k</section></div>")
+    n = materialize(page_nodes(spark.createDataFrame([(1, BASE, html)], "page_id long, url string, html string")), "n")
+    got = {r.tag + (r.id or "") + str(r.pre): r.html for r in extract.safe_html(n, n.where("tag in ('div', 'p')").select("page_id", "pre")).join(
+        n.select("page_id", "pre", "tag", "id"), ["page_id", "pre"]).collect()}
+    whole = next(v for k, v in got.items() if k.startswith("divt"))
+    assert whole == 'a<p title="q&quot;">b' + 'e<br>f</p>h<section>k</section>'
+    assert sorted(got.values())[0:1] == [" tail"] or "<p>in <b>hidden</b></p> tail" in got.values()
+    assert "in <b>hidden</b>" in got.values()  # a chosen element inside a hidden one is read by itself

@@ -114,8 +114,51 @@ def test_batches_and_stats(spark, rows, tmp_path):
     assert store.read_records(spark, path).count() == 1500
     assert store.undo_last_batch(spark, path, "a/hot") == last
     assert {r.seq for r in store.read_records(spark, path, "a/hot").collect()} == want
-    assert store.clear_session(spark, path, "a/hot")
-    assert store.read_records(spark, path, "a/hot").count() == 0
+    files = lambda: sorted(str(p) for p in (tmp_path / "store" / "data").rglob("*.parquet"))
+    written = files()
+    assert store.clear_session(spark, path, "a/hot") and not store.clear_session(spark, path, "a/hot")
+    assert store.read_records(spark, path, "a/hot").count() == 0 and store.undo_last_batch(spark, path, "a/hot") is None
+    assert files() == written  # undoing and clearing touch no data
+    rest = 1500 - sum(r["session_id"] == "hot" for r in b)
+    assert store.read_records(spark, path).count() == rest
+    with pytest.raises(ValueError, match="64 buckets"):
+        store.read_records(spark, path, "a/hot", buckets=8)
+    again = one.where("session_id = 'a/hot'").limit(3)
+    store.append_batch(again, path)  # a cleared session begins anew
+    assert store.read_records(spark, path, "a/hot").count() == 3 and store.read_records(spark, path).count() == rest + 3
+    store.compact(spark, path)
+    assert store.read_records(spark, path).count() == rest + 3 and store.read_records(spark, path).columns == one.columns
+
+
+def test_a_batch_written_again_replaces_only_its_own_sessions(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda *data: spark.createDataFrame(data, "session_id string, batch_id string, seq long")
+    store.append_batch(rows(("a", "b1", 1), ("a", "b1", 2), ("b", "b1", 3), (None, "b1", 4)), path, buckets=1)
+    store.append_batch(rows(("a", "b1", 5)), path)
+    store.append_batch(rows(("c", "b1", 6), ("a", "b2", 7)), path, compact_after=3)
+    store.append_batch(rows().limit(0), path)
+    got = lambda: sorted(((r.session_id, r.batch_id, r.seq) for r in store.read_records(spark, path).collect()), key=str)
+    want = [("a", "b1", 5), ("a", "b2", 7), ("b", "b1", 3), ("c", "b1", 6), (None, "b1", 4)]
+    assert got() == want and store.read_log(spark, path).where("op = 'base'").count() > 0
+    (tmp_path / "store" / "data" / "part=wlost").mkdir()  # a job that was lost before its entry
+    rows(("a", "b9", 9)).withColumn("bucket", F.lit(0)).write.mode("append").parquet(str(tmp_path / "store" / "data" / "part=wlost"))
+    assert got() == want
+    assert store.undo_last_batch(spark, path, "a") == "b2" and got() == [r for r in want if r[1] != "b2"]
+    with pytest.raises(Exception, match="(?i)exists"):
+        store._enter(rows().limit(0), path, 0)
+
+
+def test_an_ordered_file_from_many_parts(spark, tmp_path):
+    fields = [Field("name", "Name")]
+    for n in (1, 2, 700):
+        rows = spark.range(n).repartition(5).select((n - F.col("id")).alias("seq"), F.concat(F.lit("ü\n"), F.col("id").cast("string")).alias("name"))
+        for _ in range(2):  # the second one takes the place of the first
+            export.write_json(rows, fields, str(tmp_path / f"j{n}"), "seq")
+            export.write_csv(rows, fields, f"file:{tmp_path}/c{n}", single_file=True, order="seq")
+        (part,) = (tmp_path / f"j{n}").glob("part-*")
+        assert [r["Name"] for r in json.loads(part.read_text())] == [f"ü\n{n - 1 - i}" for i in range(n)]
+        (part,) = (tmp_path / f"c{n}").glob("part-*")
+        assert part.read_bytes().decode("utf-8-sig") == '"Name"\r\n' + "".join(f'"ü\n{n - 1 - i}"\r\n' for i in range(n))
 
 
 FIELDS = [Field("name", "Name", required=True), Field("note", "Note"), Field("n", "N", "number"),

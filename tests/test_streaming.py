@@ -1,13 +1,14 @@
 import datetime as dt
 import time
 
-import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from rowharvest import schemas
 from rowharvest.fields import Field, Locator
 from rowharvest.operators.locate import Collection, locate_items, locator_from_css
+from rowharvest.sinks.store import data_path, read_records
 from rowharvest.sources.nodes import page_nodes
 from rowharvest.sources.pages import latest_snapshot, read_snapshots
 from rowharvest.streaming import capture as C
@@ -50,10 +51,10 @@ def test_capture_end_to_end(spark, states, tmp_path):
         r.fingerprint for r in batch.select("fingerprint").distinct().collect()}
     fresh = C.stream_dedup(C.read_stream_table(spark, d["log"], log.schema), ["session_id", "fingerprint"])
     C.run_available(C.stream_to_store(fresh, d["store"], d["ledger"], d["ck2"], max_records=7))
-    stored = spark.read.parquet(d["store"])
+    stored = read_records(spark, d["store"])
     assert names(stored.where(F.col("source_url").endswith("beta"))) == [(BASE + "/v#beta", n) for n in "ABC"]
     assert stored.groupBy("session_id").count().agg(F.max("count")).first()[0] == 7
-    totals = C.stream_stats(C.read_stream_table(spark, d["store"], stored.schema), ["session_id"])
+    totals = C.stream_stats(C.read_stream_table(spark, data_path(d["store"]), stored.schema), ["session_id"])
     C.run_available(C.write_changes(totals, d["totals"], d["ck4"], ["session_id"]))
     assert sorted(r.n for r in C.latest_totals(spark, d["totals"], ["session_id"]).collect()) == [3, 7]
 
@@ -89,31 +90,55 @@ def test_retry_states(spark, tmp_path):
     assert [g[2:] for g in got if g[1] == "k3" and g[2] == "retry"] == [("retry", 1), ("retry", 2), ("retry", 3)]
 
 
-class FakeState:
-    def __init__(self, value, timed_out=True):
-        self.value, self.hasTimedOut, self.timeout = value, timed_out, None
+class Handle:
+    """State of one item and its timers, in memory."""
 
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
+    def __init__(self, attempts=None):
+        self.value, self.timers, self.ttl = attempts, [], None
 
-    def update(self, v):
-        self.value = v
+    def getValueState(self, name, schema, ttl):
+        self.ttl = ttl
+        return self
 
-    def remove(self):
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
         self.value = None
 
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Now:
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
 
 
 def test_retry_timers():
-    s, out = FakeState((1,)), []
-    while s.exists:
-        out += [r for f in C._retries(("s", "k"), iter([]), s) for r in f["status"]]
-    assert out == ["gave_up"]
-    s = FakeState(None, False)
-    list(C._retries(("s", "k"), iter([pd.DataFrame({"seq": [1], "incomplete": [True]})]), s))
-    assert s.value == (1,) and s.timeout == 600
+    state, retries, out = Handle((1, 5)), C.Retries(), []
+    retries.init(state)
+    waits = []
+    while state.exists():
+        state.timers.clear()  # the timer that calls is gone
+        out += [tuple(r) for r in retries.handleExpiredTimer(("s", "k"), Now(), None)]
+        waits += state.timers if state.exists() else []
+    assert out == [("s", "k", "gave_up", 3)] and waits == [1900, 2200] and state.ttl == C.RETRY_TTL_MS
+    assert list(retries.handleExpiredTimer(("s", "k"), Now(), None)) == []  # forgotten meanwhile
+    state = Handle()
+    retries.init(state)
+    read = lambda *pairs: [r[2:] for r in map(tuple, retries.handleInputRows(("s", "k"), iter(
+        [Row(seq=q, incomplete=i) for q, i in pairs]), Now()))]
+    assert read((2, False), (1, False)) == [] and state.value is None and state.timers == []
+    assert read((9, True), (8, False)) == [("retry", 1)] and state.value == (1, 1600) and state.timers == [1600]
+    assert read((11, True), (10, True), (12, True)) == [("retry", 2), ("retry", 3)] and state.timers == [2200]
+    assert read((20, False)) == [("completed", 3)] and state.value is None and state.timers == []
 
 
 def test_locators_and_items(spark):
@@ -123,7 +148,7 @@ def test_locators_and_items(spark):
         with pytest.raises(ValueError):
             locator_from_css(css)
     nodes = page_nodes(pages_frame(spark))
-    got = locate_items(nodes, [Collection("t", "table", ":scope > tr"), Collection("g", "#grid", ":scope > article.tile.product"),
+    got = locate_items(nodes, [Collection("t", "table.berths", ":scope > tr"), Collection("g", "#grid", ":scope > article.tile.product"),
                                Collection("s", "main > goods-grid >>> section", ":scope > article.tile")])
     counts = {(r.page_id, r.cid): r["count"] for r in got.groupBy("page_id", "cid").count().collect()}
     assert counts[ID["table"], "t"] == 3 and counts[ID["cards"], "g"] == 8 and counts[ID["shadow"], "s"] == 6
@@ -151,3 +176,21 @@ def test_frames_and_limitations(spark):
     notes = {r.page_id: r.limitations for r in page_limitations(odd, page_nodes(odd)).collect()}
     assert ["canvas" in n for n in notes[1]] == [True] and ["closed" in n for n in notes[2]] == [True] and len(notes[3]) == 1
     assert {r.page_id: r.title for r in page_titles(nodes).collect()}[ID["cards"]] == "cards"
+
+
+def test_thousands_of_collections_are_one_plan(spark):
+    from rowharvest.operators.extract import fields_table
+    from rowharvest.operators.locate import collections_table
+
+    known = [Collection(f"c{i}", f"section.k{i} > div.list", f":scope > article.item{i}") for i in range(5000)]
+    rows = "".join(f"<section class='k{i} x'><div class=list><article class='item{i}'>a{i}</article><article class='item{i} z'>b{i}</article>"
+                   f"<article class=other>c</article></div></section>" for i in (7, 4999))
+    nodes = page_nodes(spark.createDataFrame([(1, BASE, rows)], "page_id long, url string, html string"))
+    start = time.time()
+    table = collections_table(spark, known)
+    items = locate_items(nodes, table)
+    fields = fields_table(spark, [Field("t", "T")], table)
+    items._jdf.queryExecution().executedPlan()
+    assert time.time() - start < 30
+    assert sorted(tuple(r) for r in items.select("cid", "ord").collect()) == [("c4999", 1), ("c4999", 2), ("c7", 1), ("c7", 2)]
+    assert fields.count() == 5000 and fields.where("cid = 'c7'").first()["id"] == "t"
