@@ -17,9 +17,9 @@ MAX_PATTERN, MAX_QUANTIFIERS, MAX_REPEAT = 160, 8, 200
 FORBIDDEN = r"\\[1-9]|\(\?|\||\.\*|\.\+|\)[+*{]"
 RANGE = r"\{(\d+)(?:,(\d*))?\}"
 TOKEN = r"[\p{L}\p{N}@._+-]{8,}"
-CACHED_REASON = "Selected by a cached, validated AI cleanup plan."
-CACHED_TYPE = "Cached records"
-CACHED_SUMMARY = "Reused a validated cleanup plan for this page template."
+CACHED_REASON = "a stored plan that was checked before"
+CACHED_TYPE = "Records of a stored plan"
+CACHED_SUMMARY = "A stored plan of this template, used again."
 
 
 def safe_pattern(pattern: Column) -> Column:

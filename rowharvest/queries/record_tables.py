@@ -3,13 +3,14 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rowharvest import fields
 from rowharvest.fields import Field
 from rowharvest.operators import profile, records, skew
 from rowharvest.operators.extract import from_wide, is_incomplete, kind_of
 from rowharvest.queries import query, table
 from rowharvest.session import scratch_path
 from rowharvest.sinks import export, store
-from rowharvest.sources.pages import latest_snapshot
+from rowharvest.sources.pages import latest_snapshot, page_sessions, read_snapshots
 
 
 def events(spark, sf_dir):
@@ -160,9 +161,9 @@ def exported_json(spark, sf_dir):
 
 
 @query(f"""SELECT {_NUMBERED} + 1 AS line, '"' || o_orderpriority || '","' || regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') || '"' AS text FROM orders
-  UNION ALL SELECT 1, chr(65279) || '"Priority","Price"'""")
+  UNION ALL SELECT 1, '"Priority","Price"'""")
 def exported_csv(spark, sf_dir):
-    """One ordered CSV file with its header."""
+    """One ordered CSV file with its header; reading it as text drops its byte order mark."""
     path = scratch_path(spark, "csv")
     export.write_csv(exported_orders(spark, sf_dir), EXPORT_FIELDS, path, single_file=True, order="seq")
     return _lines(spark, path, "\r\n").select("line", F.col("value").alias("text"))
@@ -226,3 +227,43 @@ def filled_documents(spark, sf_dir):
     df = document_records(spark, sf_dir)
     kinds = {f.id: kind_of(f) for f in DOC_FIELDS if f.id in ("rare", "quality")}
     return records.drop_empty_records(df, kinds).select("doc_id")
+
+
+EDITED = [Field("p_partkey", "Key", "number"), Field("p_name", "Name"), Field("p_brand", "Brand"), Field("p_size", "Size", "number"), Field("p_type", "Type")]
+
+
+@query("""SELECT p_partkey, '"' || p_brand || '","' || p_partkey || '","' || p_type || '"' AS line, '"Maker","Number","Kind"' AS header FROM part""")
+def edited_columns(spark, sf_dir):
+    """A column set after edits: renamed, retyped, moved, hidden, deleted and added columns, as they are exported."""
+    columns = fields.rename(fields.rename(fields.rename(EDITED, "p_brand", "Maker"), "p_partkey", "Number"), "p_type", "Kind")
+    columns = fields.move(fields.move(columns, "p_brand", -1), "p_brand", -1)
+    columns = fields.toggle_hidden(fields.delete(fields.retype(columns, "p_partkey", "text"), "p_size"), "p_name")
+    columns = fields.toggle_hidden(fields.add_custom(columns, "mine"), "mine")
+    df = table(spark, sf_dir, "part").withColumn("p_partkey", F.col("p_partkey").cast("string")).withColumn("mine", F.lit(""))
+    return df.select(F.col("p_partkey").cast("long").alias("p_partkey"), export.csv_line(df, columns).alias("line"), F.lit(export.csv_header(columns)).alias("header"))
+
+
+_STATES = """SELECT conv_id AS page_id, 'https://e.example.test/' || CASE WHEN turn >= 3 THEN 'late' ELSE 'early' END AS url, turn FROM conversations"""
+
+
+def page_states(spark, sf_dir):
+    """Turns of conversations as states of pages that navigate at their third turn."""
+    url = F.concat(F.lit("https://e.example.test/"), F.when(F.col("turn") >= 3, "late").otherwise("early"))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("page_id"), url.alias("url"), F.col("text").alias("html"),
+                                                       F.timestamp_seconds("turn").alias("snapshot_ts"))
+
+
+@query(f"""SELECT sha256(page_id || chr(10) || url) AS session_id, count(*) AS states FROM ({_STATES}) GROUP BY 1""")
+def navigated_sessions(spark, sf_dir):
+    """A new address of a page is a new session."""
+    return page_sessions(page_states(spark, sf_dir)).groupBy("session_id").agg(F.count("*").alias("states"))
+
+
+@query(f"""SELECT page_id, count(*) AS states, max(turn) AS newest FROM ({_STATES}) GROUP BY page_id""")
+def streamed_snapshots(spark, sf_dir):
+    """States read as a stream, file by file."""
+    path, out = scratch_path(spark, "snapshots"), scratch_path(spark, "snapshot_log")
+    page_states(spark, sf_dir).repartition(3).write.parquet(path)
+    writer = read_snapshots(spark, path, 1).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "checkpoint"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("page_id").agg(F.count("*").alias("states"), F.max(F.unix_seconds("snapshot_ts")).alias("newest"))

@@ -70,10 +70,9 @@ def page_titles(nodes: DataFrame) -> DataFrame:
     return titles.groupBy("page_id").agg(F.min_by(V.collapse_space(text), "pre").alias("title"))
 
 
-# The limitation notes.
-PDF_NOTE = "PDF content cannot be inspected as a webpage DOM."
-CANVAS_NOTE = "This page appears canvas-based; pixels cannot be converted into structured DOM data."
-CLOSED_NOTE = "Some web components may use closed shadow roots and cannot be inspected."
+PDF_NOTE = "a PDF file: it has no elements"
+CANVAS_NOTE = "drawn on a canvas: hardly any text in elements"
+CLOSED_NOTE = "custom elements without content: closed shadow roots cannot be read"
 
 
 def page_limitations(pages: DataFrame, nodes: DataFrame, stitched: DataFrame | None = None) -> DataFrame:
