@@ -134,7 +134,7 @@ def test_leaks_keys_and_reuse(spark, wide):
                                   "plan_id string, session_id string, plan_json string")
     safe = {r.plan_id: r for r in validate.cache_safe_plans(validate.parse_plans(plans), profiles, ["session_id"]).collect()}
     assert (safe["a"].leaks, safe["b"].leaks) == (False, True) and safe["b"].plan is None
-    assert safe["a"].plan.recordType == "Cached records" and {f.reason for f in safe["a"].plan.fields} == {validate.CACHED_REASON}
+    assert safe["a"].plan.recordType == validate.CACHED_TYPE and {f.reason for f in safe["a"].plan.fields} == {validate.CACHED_REASON}
     assert safe["c"].plan.fields[2].name == "Field 3" and safe["c"].plan.deduplicateBy == ["Field 3"]
     sessions = spark.createDataFrame([("s", "h.test", "m", " keep  it ")], "session_id string, host string, model string, instruction string")
     keys = plan_keys(profiles, sessions, ["session_id"])
