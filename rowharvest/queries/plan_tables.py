@@ -91,8 +91,7 @@ _REASONS = """CASE WHEN p_size % 11 = 0 THEN 'duplicate field names|' ELSE '' EN
   || CASE WHEN p_size > 40 THEN 'invalid confidence|' ELSE '' END"""
 
 
-@query(f"SELECT p_partkey AS plan_id, ({_REASONS}) = '' AS plan_ok, {_REASONS} AS reasons FROM part")
-def checked_plans(spark, sf_dir):
+def part_plans(spark, sf_dir):
     """One plan per part, broken in ways that follow from the part's size."""
     size = F.col("p_size")
 
@@ -114,10 +113,25 @@ def checked_plans(spark, sf_dir):
     plans = heavy_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("plan_id"), F.col("p_brand").alias("session_id"), body.alias("plan_json"))
     profiles = plans.select("session_id").distinct().select("session_id", F.explode(F.array(
         *[F.lit(c) for c in ("p_name", "p_brand", "p_type")])).alias("id"))
+    return plans, profiles
+
+
+@query(f"SELECT p_partkey AS plan_id, ({_REASONS}) = '' AS plan_ok, {_REASONS} AS reasons FROM part")
+def checked_plans(spark, sf_dir):
+    plans, profiles = part_plans(spark, sf_dir)
     out = validate.validate_plans(plans, profiles, ["session_id"])
     return out.select("plan_id", "plan_ok", F.concat(F.array_join("reasons", "|"), F.when(F.size("reasons") > 0, "|").otherwise("")).alias("reasons"))
 
 
+@query(f"SELECT p_partkey, ({_REASONS}) = '' AS cache_hit FROM part")
+def revalidated_plans(spark, sf_dir):
+    """Stored plans are checked against what their session has now; a plan that fails is no hit."""
+    plans, profiles = part_plans(spark, sf_dir)
+    cache = plans.select(F.col("plan_id").cast("string").alias("plan_key"), "plan_json", F.lit(NOW).cast("timestamp").alias("created_at"))
+    keyed = plans.select(F.col("plan_id").alias("p_partkey"), F.col("plan_id").cast("string").alias("plan_key"), "session_id")
+    return attach_plans(keyed, cache, NOW, profiles=profiles, on=["session_id"]).select("p_partkey", "cache_hit")
+
+
 _SHAPES = ("({}+)", "({}+)+", "{}", "({}{{2,9}})", "({}{{0,9}})", "(?:{})", "({})|x", "({}.*)", "([{}]+)\\s*", "({}")
 
 
