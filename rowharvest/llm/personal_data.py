@@ -75,7 +75,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         for i in range(0, len(groups) - 3, 4):
             four = groups[i:i + 4]
             end = place + sum(map(len, four)) + 3
-            if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in four):
+            if all(len(g) <= 3 and int(g or 0) <= 255 for g in (x.lstrip("0") for x in four)):
                 found.append(("ip", place, end))
             place = end + 1
     for run in DIGITS.finditer(text):
@@ -127,7 +127,7 @@ def votes(text: str, kind: str, form: str, start: int, end: int) -> str:
         parts = span.split(":" if form == "long" else ".")
         shape = NO if edge else YES
         gazetteer = NO if form != "long" and parts[0] in ("0", "255") else ABSTAIN
-        check = YES if form == "long" or all(p == str(int(p)) for p in parts) else NO
+        check = YES if form == "long" or all(p == (p.lstrip("0") or "0") for p in parts) else NO
     elif kind == "card":
         shape = NO if edge else YES
         gazetteer, check = YES if digits.startswith(CARD_STARTS) else ABSTAIN, YES if luhn(digits) else NO

@@ -478,3 +478,10 @@ def test_repeated_rows_recur_and_null_ids_stay(spark):
     got = suffixes.remove_recurring(docs).collect()
     assert sorted((r["n_bytes"], r["n_removed"]) for r in got) == sorted([(len(text), len(text))] * 2 + [(5, 0), (0, 0)])
     assert suffixes.remove_recurring(docs.limit(0)).count() == 0
+
+
+def test_addresses_with_very_long_groups_are_none(spark):
+    texts = ["0" * 5000 + ".1.1.1 and 10.0.0.1", "9" * 5000 + ".1.1.1", "1." * 3000, "000000000255.0.0.1"]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["base"]] for r in personal_data.find_personal_data(frame(spark, texts)).collect()}
+    assert ("ip", 0, 5006) in got[0] and ("ip", 5011, 5019) in got[0] and not [x for x in got[1] if x[0] == "ip"]
+    assert len([x for x in got[2] if x[0] == "ip"]) == 750 and got[3] == [("ip", 0, 18)]
