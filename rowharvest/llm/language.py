@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from rowharvest.llm import kernel as K
 from rowharvest.llm.common import remainder, stored
 
-LONGEST_PIECE = 16
-#: Words are cut after so many bytes (at a whole character), so that a word's probability is a normal number.
-LONGEST_WORD = 32
+#: Words up to so many bytes are summed many at once; their probabilities are normal numbers. Longer ones go place by place, in logarithms.
+SHORT_WORD = 32
+#: Places of a long word whose pieces are looked up at once.
+PLACES = 4096
 #: Text that is scored at once.
 SCORE_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -38,10 +39,10 @@ class Vocabulary:
         pieces: dict[bytes, int] = {bytes([i]): i for i in range(256)}
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-                text = model.id_to_piece(i).replace("▁", " ").encode()
-                if len(text) <= LONGEST_PIECE:
-                    pieces.setdefault(text, len(pieces))
+                pieces.setdefault(model.id_to_piece(i).replace("▁", " ").encode(), len(pieces))
         self.size = len(pieces)
+        #: Bytes of the longest piece that a word can hold: a word has a space in front only.
+        self.longest = max(len(text) for text in pieces if b" " not in text[1:])
         hashes = np.zeros(self.size, np.uint64)
         for text, i in pieces.items():
             h = 0
@@ -88,7 +89,7 @@ def steps(vocabulary: Vocabulary, rows: np.ndarray) -> Iterator[tuple[int, int,
     length = rows.shape[1]
     for i in range(length):
         h = np.zeros(len(rows), np.uint64)
-        for j in range(i, min(length, i + LONGEST_PIECE)):
+        for j in range(i, min(length, i + vocabulary.longest)):
             h = h * K.U64(K.BASE) + rows[:, j] + K.U64(1)
             ids = vocabulary.find(h)
             if (ids != vocabulary.size).any():
@@ -121,26 +122,77 @@ def expected(vocabulary: Vocabulary, rows: np.ndarray, weights: np.ndarray, p: n
     return total[:-1]
 
 
-def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs without white space, cut every ``LONGEST_WORD`` bytes at a whole character: (starts, ends, row)."""
-    starts, ends, rows = K.words(data, offsets, K.TOKEN)
-    long = np.flatnonzero(ends - starts > LONGEST_WORD)
-    if not len(long):
-        return starts, ends, rows
-    cuts, owner = [], []
-    for w in long.tolist():
-        at, end = int(starts[w]), int(ends[w])
-        whole = np.flatnonzero((data[at:end] & 0xC0) != 0x80) + at  # bytes that begin a character
-        while end - at > LONGEST_WORD:
-            at = max(int(whole[np.searchsorted(whole, at + LONGEST_WORD, "right") - 1]), at + 1)
-            cuts.append(at)
-            owner.append(w)
-    cuts, owner = np.array(cuts), np.array(owner)
-    starts, ends, rows = np.append(starts, cuts), np.append(ends, cuts), np.append(rows, rows[owner])
-    starts.sort()
-    ends.sort()
-    rows.sort()
-    return starts, ends, rows
+def pieces_ending(vocabulary: Vocabulary, word: np.ndarray, first: int, stop: int) -> np.ndarray:
+    """The piece of l + 1 bytes whose last byte is at each place from ``first`` to ``stop`` (excluded), or no piece: places x lengths."""
+    places = np.arange(first, stop)
+    h, power = np.zeros(len(places), np.uint64), 1
+    ids = np.full((len(places), vocabulary.longest), vocabulary.size, np.int32)
+    for back in range(vocabulary.longest):
+        begin = places - back
+        h += (word[np.maximum(begin, 0)].astype(np.uint64) + K.U64(1)) * K.U64(power)
+        power = power * K.BASE % 2**64
+        inside = begin >= 0
+        ids[inside, back] = vocabulary.find(h[inside])
+    return ids
+
+
+def pieces_beginning(vocabulary: Vocabulary, word: np.ndarray, first: int, stop: int) -> np.ndarray:
+    """The same by the places of their first bytes."""
+    behind = min(len(word), stop + vocabulary.longest)
+    ending = np.full((behind - first + vocabulary.longest, vocabulary.longest), vocabulary.size, np.int32)
+    ending[:behind - first] = pieces_ending(vocabulary, word, first, behind)
+    lengths = np.arange(vocabulary.longest)
+    return ending[np.arange(stop - first)[:, None] + lengths, lengths]
+
+
+def chain(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Logarithms of a[1], a[2], ... in parts, where a[0] = 1 and a[j + 1] = sum over l of weights[j, l] a[j - l] (places x lengths x languages).
+
+    The last values are scaled every few places, so that no word is too long for them.
+    """
+    recent = scale = None
+    for weights in parts:
+        n, longest, languages = weights.shape
+        if recent is None:
+            recent, scale = np.zeros((longest, languages)), np.zeros(languages)
+            recent[0] = 1
+        values, scales = np.empty((n, languages)), np.empty((n, languages))
+        held = np.empty((n + longest, languages))  # backwards: what came last is first
+        held[n:] = recent
+        for j in range(n):
+            at = n - 1 - j
+            values[j] = held[at] = (weights[j] * held[at + 1:at + 1 + longest]).sum(axis=0)
+            scales[j] = scale
+            if j % 4 == 3 or j == n - 1:
+                most = held[at:at + longest].max(axis=0)
+                held[at:at + longest] /= most
+                scale = scale + np.log(most)
+        recent = held[:longest].copy()
+        yield np.log(values) + scales
+
+
+def long_word(vocabulary: Vocabulary, word: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Logarithm of the probability of one word of any length (with its space) under each column of ``p``."""
+    last = None
+    for last in chain(p[pieces_ending(vocabulary, word, at, min(len(word), at + PLACES))] for at in range(0, len(word), PLACES)):
+        pass
+    return last[-1]
+
+
+def expected_of_long(vocabulary: Vocabulary, word: np.ndarray, weight: float, p: np.ndarray) -> np.ndarray:
+    """``expected`` for one word of any length."""
+    n, column = len(word), p[:, None]
+    bounds = [(at, min(n, at + PLACES)) for at in range(0, n, PLACES)]
+    alpha = np.concatenate([[0.0], *(x[:, 0] for x in chain(column[pieces_ending(vocabulary, word, a, b)] for a, b in bounds))])
+    beta = np.concatenate([[0.0], *(x[:, 0] for x in chain(column[pieces_beginning(vocabulary, word, a, b)[::-1]] for a, b in reversed(bounds)))])[::-1]
+    total = np.zeros(vocabulary.size + 1)
+    for a, b in bounds:
+        ids = pieces_ending(vocabulary, word, a, b)
+        place, length = np.nonzero(ids != vocabulary.size)
+        own, end = ids[place, length], place + a + 1
+        share = np.exp(alpha[end - length - 1] + np.log(p[own]) + beta[end] - alpha[n])
+        total += np.bincount(own, weights=share * weight, minlength=len(total))
+    return total[:-1]
 
 
 def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,13 +225,17 @@ class Model:
         predicted, sure = [], []
         at_once = max(500, 40_000 // len(self.languages))  # words: their tables are words x languages x places
         for first, stop, data, offsets in K.slices(column, SCORE_BYTES):
-            starts, ends, rows = cut_words(data, offsets)
+            starts, ends, rows = K.words(data, offsets, K.TOKEN)
             totals = np.zeros((stop - first, len(self.languages)))
             if len(starts):
                 one, inverse = distinct_words(data, starts, ends)
                 logs = np.empty((len(one), len(self.languages)))
-                for part, matrix in by_length(data, starts[one], ends[one], at_once):
-                    logs[part] = np.log(forward(vocabulary, matrix, self.p))
+                long = ends[one] - starts[one] > SHORT_WORD
+                short = np.flatnonzero(~long)
+                for part, matrix in by_length(data, starts[one[short]], ends[one[short]], at_once):
+                    logs[short[part]] = np.log(forward(vocabulary, matrix, self.p))
+                for w in np.flatnonzero(long).tolist():
+                    logs[w] = long_word(vocabulary, word_matrix(data, starts[one[w:w + 1]], int(ends[one[w]] - starts[one[w]]))[0], self.p)
                 for g in range(len(self.languages)):
                     totals[:, g] = np.bincount(rows, weights=logs[inverse, g], minlength=stop - first)
             best = totals.argmax(axis=1)
@@ -221,7 +277,7 @@ def train(docs: DataFrame, vocabulary_path: str, *, sample_per_language: int = 2
             for g in set(batch.column("lang").to_pylist()):
                 column = batch.filter(pa.compute.equal(batch.column("lang"), g)).column("text")
                 for _, _, data, offsets in K.slices(column):
-                    starts, ends, _ = cut_words(data, offsets)
+                    starts, ends, _ = K.words(data, offsets, K.TOKEN)
                     if len(starts):
                         one, inverse = distinct_words(data, starts, ends)
                         yield pa.RecordBatch.from_pydict({
@@ -243,8 +299,13 @@ def train(docs: DataFrame, vocabulary_path: str, *, sample_per_language: int = 2
                 for g in sorted(set(names.tolist())):
                     mine = np.flatnonzero(names == g)
                     total = totals.setdefault(g, np.zeros(words_of.size))
-                    for part, matrix in by_length(data, offsets[:-1][mine], offsets[1:][mine], 4_000):
-                        total += expected(words_of, matrix, weights[mine][part], shared.value[:, languages.index(g)])
+                    own = shared.value[:, languages.index(g)]
+                    long = np.diff(offsets)[mine] > SHORT_WORD
+                    short = mine[~long]
+                    for part, matrix in by_length(data, offsets[:-1][short], offsets[1:][short], 4_000):
+                        total += expected(words_of, matrix, weights[short][part], own)
+                    for w in mine[long].tolist():
+                        total += expected_of_long(words_of, word_matrix(data, offsets[w:w + 1], int(offsets[w + 1] - offsets[w]))[0], weights[w], own)
             for g, total in totals.items():
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_pydict({"lang": [g] * len(at), "piece": at.astype(np.int64), "n": total[at]})
@@ -273,6 +334,7 @@ def predict_language(docs: DataFrame, model: Model, *, id_col: str = "doc_id", t
     """(doc_id, lang_pred, score) for every row, from the text alone.
 
     score is the probability of the language among the learned ones, all equally likely beforehand.
+    Words count whole, whatever their length, with every piece of the vocabulary.
     A text that is null or without a letter gets 'und' and 0; ties go to the first name. Repeated rows
     are each answered, other columns are ignored, an empty table gives an empty result. No shuffle.
     """

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,42 @@ def test_forward_sums_all_segmentations():
     assert counts @ lengths == pytest.approx(2 * len(word))  # every segmentation covers the word
 
 
+def test_long_words_sum_like_short_ones(monkeypatch):
+    vocabulary = language.vocabulary_at(tokenizer("piece_bpe_32k.model"))
+    rng = np.random.default_rng(1)
+    p = np.concatenate([rng.random((vocabulary.size, 2)), np.zeros((1, 2))]) / vocabulary.size
+    text = b"internationalization_of_responsibilities" + bytes(rng.integers(97, 110, 60).tolist()) + "日本語".encode()
+    data = np.frombuffer(text, np.uint8)
+    assert vocabulary.longest > 16
+    for places in (7, 4096):
+        monkeypatch.setattr(language, "PLACES", places)
+        for n in (1, 6, 7, 20, 45):
+            matrix = language.word_matrix(data, np.array([0]), n)
+            assert language.long_word(vocabulary, matrix[0], p) == pytest.approx(np.log(language.forward(vocabulary, matrix, p)[0]), rel=1e-9)
+            want = language.expected(vocabulary, matrix, np.array([3.0]), p[:, 0])
+            assert language.expected_of_long(vocabulary, matrix[0], 3.0, p[:, 0]) == pytest.approx(want, rel=1e-9, abs=1e-12)
+    # Far below the least normal number: exact rational sums over all segmentations.
+    word, exact = language.word_matrix(np.tile(data, 3), np.array([0]), 3 * len(data))[0], [Fraction(1)]
+    ids = language.pieces_ending(vocabulary, word, 0, len(word))
+    for j in range(len(word)):
+        exact.append(sum(Fraction(float(p[ids[j, l], 0])) * exact[j - l] for l in range(min(j + 1, vocabulary.longest)) if ids[j, l] < vocabulary.size))
+    want = (math.log(exact[-1].numerator >> (exact[-1].numerator.bit_length() - 60)) + (exact[-1].numerator.bit_length() - 60) * math.log(2)
+            - math.log(exact[-1].denominator >> (exact[-1].denominator.bit_length() - 60)) - (exact[-1].denominator.bit_length() - 60) * math.log(2))
+    assert want < -750 and language.long_word(vocabulary, word, p)[0] == pytest.approx(want, rel=1e-9)
+    lengths = np.array([0] * vocabulary.size)
+    places, ends = np.nonzero(ids != vocabulary.size)
+    lengths[ids[places, ends]] = ends + 1
+    assert language.expected_of_long(vocabulary, word, 1.0, p[:, 0]) @ lengths == pytest.approx(len(word))
+
+
+def test_language_learns_from_words_longer_than_any_table(spark):
+    made = [(g, "".join(random.Random(i).choices(letters, k=300))) for i in range(40) for g, letters in (("xx", "abcab"), ("yy", "abccc"))]
+    docs = frame(spark, [t for _, t in made], langs=[g for g, _ in made])
+    model = language.train(docs.where("doc_id % 4 < 2"), tokenizer("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict_language(docs, model).collect()}
+    assert all(got[i] == g for i, (g, _) in enumerate(made) if i % 4 > 1)
+
+
 def test_language_held_out_accuracy_and_awkward_texts(spark):
     words = {"xx": "la le du de une".split(), "yy": "the of and with a".split()}
     rng = random.Random(1)
