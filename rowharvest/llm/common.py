@@ -1,4 +1,4 @@
-"""What several operators share: written intermediates, Arrow helpers, connected components."""
+"""What several operators share: written intermediates, files, Arrow helpers, connected components."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return (pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path))
+
+
+def mapped(path: str) -> pa.Buffer:
+    """A file's bytes: mapped where the file system is mounted, else read."""
+    system, path = located(path)
+    if isinstance(system, pyarrow.fs.LocalFileSystem):
+        with pa.memory_map(path) as file:
+            return file.read_buffer()
+    with system.open_input_file(path) as file:
+        return file.read_buffer()
+
+
 def remainder(id_column: str | Column, divisor: int) -> Column:
     """crc32 of the id written as text, modulo ``divisor``; a null id is the text ''."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string") if isinstance(id_column, str) else id_column, F.lit("")).cast("binary")) % divisor

@@ -11,13 +11,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowharvest.llm import kernel as K
-from rowharvest.llm.common import stored
+from rowharvest.llm.common import located, mapped, stored
 
 #: Ids of one file, in bytes.
 FILE_BYTES = 64 << 20
@@ -190,25 +189,8 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, id_col:
 
 # Files -------------------------------------------------------------------------------------------------------------------------
 
-def _located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a path or URI, and the path there."""
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return (pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path))
-
-
-def _mapped(path: str) -> pa.Buffer:
-    """A file's bytes: mapped where the file system is mounted, else read."""
-    system, path = _located(path)
-    if isinstance(system, pyarrow.fs.LocalFileSystem):
-        with pa.memory_map(path) as file:
-            return file.read_buffer()
-    with system.open_input_file(path) as file:
-        return file.read_buffer()
-
-
 def _numbers(path: str, kind: str) -> np.ndarray:
-    return np.frombuffer(_mapped(path), kind)
+    return np.frombuffer(mapped(path), kind)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 1, file_bytes: int = FILE_BYTES,
@@ -233,7 +215,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     kind = dict(encoded.dtypes)["doc_id"]
     width = words_at(tokenizer_path, end_id).kind.itemsize
     total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    system, local = _located(path)
+    system, local = located(path)
     system.create_dir(local, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +224,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
         at, out = None, None
         for batch in batches:
             if out is None:
-                at, local = _located(name)
+                at, local = located(name)
                 out = at.open_output_stream(f"{local}.ids")
             column = batch.column("ids")
             _, bounds, data = column.buffers()
@@ -261,8 +243,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                at, local = _located(f"{path}/{row['name']}")
-                sizes = pa.ipc.open_file(_mapped(f"{path}/{row['name']}.keys")).read_all().column("n_tokens").to_numpy()
+                at, local = located(f"{path}/{row['name']}")
+                sizes = pa.ipc.open_file(mapped(f"{path}/{row['name']}.keys")).read_all().column("n_tokens").to_numpy()
                 with at.open_output_stream(f"{local}.offsets") as stream:
                     stream.write(np.concatenate(([row["base"]], row["base"] + np.cumsum(sizes))).astype("<u8").tobytes())
             yield batch
@@ -290,7 +272,7 @@ def map_documents(spark: SparkSession, path: str, function: Callable[[pa.Array,
         for batch in batches:
             for row in batch.to_pylist():
                 name = f"{path}/{row['name']}"
-                keys = pa.ipc.open_file(_mapped(f"{name}.keys")).read_all().column("doc_id").combine_chunks()
+                keys = pa.ipc.open_file(mapped(f"{name}.keys")).read_all().column("doc_id").combine_chunks()
                 places, ids = _numbers(f"{name}.offsets", "<u8").astype(np.int64), _numbers(f"{name}.ids", f"<u{row['width']}")
                 at, stop = row["low"], min(len(keys), row["low"] + READ_DOCUMENTS)
                 while at < stop:
@@ -320,7 +302,7 @@ class TokenFiles:
     def __init__(self, path: str):
         import pyarrow.parquet
 
-        system, local = _located(path)
+        system, local = located(path)
         rows = sorted(pyarrow.parquet.read_table(f"{local}/files", filesystem=system).to_pylist(), key=lambda r: r["part"])
         self.path, self.files, self.bases = path, rows, [r["base"] for r in rows]
         self.n_ids = rows[-1]["base"] + rows[-1]["n_ids"] if rows else 0

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowharvest.llm import kernel as K
-from rowharvest.llm.common import stored
+from rowharvest.llm.common import located, mapped, stored
+from rowharvest.session import scratch_path
 
 U64 = np.uint64
 #: Text of one block, and text whose n-grams make one shard.
@@ -105,19 +105,28 @@ class Trie:
                    np.minimum(np.round(gains / MOST * STEPS), STEPS).astype(np.uint16))
 
     def write(self, folder: str) -> None:
-        for name, level in (("words", self.words), ("pointers", self.pointers), ("contexts", self.contexts)):
-            np.save(f"{folder}/{name}-low.npy", level.low)
-            np.save(f"{folder}/{name}-high.npy", level.packed)
-            np.save(f"{folder}/{name}-shape.npy", np.array([level.n, level.width, self.low_bits]))
-        np.save(f"{folder}/gains.npy", self.gains)
+        """Each level as files of plain little-endian numbers, with their shapes beside them."""
+        system, local = located(folder)
+        system.create_dir(local, recursive=True)
+        files = {"gains": self.gains}
+        for name in ("words", "pointers", "contexts"):
+            level = getattr(self, name)
+            files |= {f"{name}-shape": np.array([level.n, level.width, self.low_bits]), f"{name}-low": level.low, f"{name}-high": level.packed}
+        for name, numbers in files.items():
+            with system.open_output_stream(f"{local}/{name}") as out:
+                out.write(pa.py_buffer(np.ascontiguousarray(numbers)))
 
     @classmethod
     def open(cls, folder: str) -> Trie:
+        """The levels, mapped where the file system is mounted."""
+        def numbers(name, kind):
+            return np.frombuffer(mapped(f"{folder}/{name}"), kind)
+
         levels, low_bits = [], 0
         for name in ("words", "pointers", "contexts"):
-            n, width, low_bits = np.load(f"{folder}/{name}-shape.npy").tolist()
-            levels.append(EliasFano(n, width, np.load(f"{folder}/{name}-low.npy", mmap_mode="r"), np.load(f"{folder}/{name}-high.npy", mmap_mode="r")))
-        return cls(low_bits, *levels, np.load(f"{folder}/gains.npy", mmap_mode="r"))
+            n, width, low_bits = numbers(f"{name}-shape", np.int64).tolist()
+            levels.append(EliasFano(n, width, numbers(f"{name}-low", U64), numbers(f"{name}-high", np.uint8)))
+        return cls(low_bits, *levels, numbers("gains", np.uint16))
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """log10 gain of each key, 0 if the bigram was never seen: word, then context among that word's own."""
@@ -211,7 +220,7 @@ def score_texts(docs: DataFrame, *, held: Column, prior: float = 4.0, id_col: st
     Work goes in four steps over compressed blocks of texts: (1) each block's distinct words to word shards, which
     answer with corpus counts; (2) with those, a block knows base scores and backoffs, and sends each of its distinct
     bigrams once, with its training count, sorted and packed, to bigram shards; (3) a shard sums the counts, builds its
-    trie and answers every block's bigrams with gains; (4) the block adds them up for its documents. Shards are by
+    trie in files in the shared folder and answers every block's bigrams with gains; (4) the block adds them up for its documents. Shards are by
     predicted word, those of very frequent words also by context; a bigram, however frequent, is no more entries in
     its shard than there are blocks. Words are known by 64-bit hashes, bigrams by a hash whose length grows with the corpus.
 
@@ -291,6 +300,8 @@ def score_texts(docs: DataFrame, *, held: Column, prior: float = 4.0, id_col: st
                 yield pa.RecordBatch.from_pydict({"block": [row["block"]] * len(out), "shard": columns[0], "keys": columns[1], "times": columns[2],
                                                   "counts": columns[3]})
 
+    tries = scratch_path(docs.sparkSession, "tries")
+
     def look_up(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         lists, rare = [], []
@@ -307,11 +318,13 @@ def score_texts(docs: DataFrame, *, held: Column, prior: float = 4.0, id_col: st
         first = np.flatnonzero(np.diff(own, prepend=~own[:1]))
         sums = np.add.reduceat(times[order], first) if len(first) else np.empty(0, np.int64)
         trie = Trie.build(own[first], np.log10(1 + sums / own_rare[first].astype(float)), key_bits)
-        with tempfile.TemporaryDirectory() as folder:  # this task's own copy, gone with the task
-            trie.write(folder)
-            trie = Trie.open(folder)
-            gains = [np.concatenate([trie.lookup(k[i:i + 500_000]) for i in range(0, len(k), 500_000)]) for k in lists]
-            del trie
+        folder = f"{tries}/{rows[0]['shard']}-{TaskContext.get().taskAttemptId()}"  # of this attempt alone, gone with it
+        trie.write(folder)
+        trie = Trie.open(folder)
+        gains = [np.concatenate([trie.lookup(k[i:i + 500_000]) for i in range(0, len(k), 500_000)]) for k in lists]
+        del trie
+        system, local = located(folder)
+        system.delete_dir(local)
         return pa.table({"block": [r["block"] for r in rows], "shard": [r["shard"] for r in rows],
                          "gains": pa.array([_pack(np.rint(g * (STEPS / MOST)).astype(np.uint16)) for g in gains], pa.binary())})
 
