@@ -316,55 +316,61 @@ def recurring_spans(parts: list[bytes], owners: np.ndarray, length: int) -> Iter
             yield int(owners[which]), int(hits[rows[0]] - begin[which]), int(hits[rows[-1]] - begin[which] + length)
 
 
-def remove_recurring(docs: DataFrame, *, length: int = 400, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_recurring(docs: DataFrame, *, length: int = 400, passage: int | None = None, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each text's UTF-8 bytes without those covered by a string of ``length``
     bytes that also starts anywhere else, in the same or another row. kept is binary: a cut may split a character.
+    With ``passage`` also repeats: the text holds a string of ``passage`` bytes that starts anywhere else. It removes nothing.
 
     (1) Every text is cut into segments of windows that share the hash of their least gram; equal windows are in segments
     of equal key. Segments with a key found once are done. (2) Of the others, contents found several times recur as a whole.
     (3) One copy of each distinct content, where a key has several, goes to the key's shard, which builds its suffix array
     and finds what recurs. A key whose contents exceed ``shard_bytes`` is no group: a row for each window of its distinct
     contents, known by two more 64-bit hashes, is dealt by those, and windows of two places recur. (4) Spans go back to the texts by segment. Rows are hashes and places up to step 3; copies,
-    however many, are one content. The exact check is the arrays' own, on bytes; hashes route.
+    however many, are one content. The exact check is the arrays' own, on bytes; hashes route. Both lengths go side by side; for
+    ``passage`` only keys that hold a content of a text without a recurring whole content are searched: the others are known.
 
     A null text is empty; rows that repeat an id and a text are texts of their own, whose passages recur; null ids are kept;
     other columns are ignored; an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     kind = dict(base.dtypes)["doc_id"]
-    narrow = base.where(F.octet_length("text") >= length)
-
-    def keys(batches):
-        for batch in batches:
-            for _, data, offsets, _ in pieces(batch.column("text"), length):
-                key, _, _, _, _, grams = segments(data, offsets, length)
-                distinct, inverse = np.unique(key, return_inverse=True)
-                yield pa.RecordBatch.from_pydict({"key": K.signed(distinct), "n": np.bincount(inverse, weights=grams, minlength=len(distinct)).astype(np.int64)})
+    lengths = [length] if passage in (None, length) else [length, passage]
+    narrow = base.where(F.octet_length("text") >= min(lengths))
 
     def places(batches):
         for batch in batches:
-            for first, data, offsets, before in pieces(batch.column("text"), length):
-                key, content, row, start, size, grams = segments(data, offsets, length)
-                row = pa.array(row + first)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(row), batch.column("tag").take(row), pa.array(K.signed(key)), pa.array(K.signed(content)),
-                     pa.array(start + before), pa.array(size.astype(np.int32)), pa.array(grams.astype(np.int32))],
-                    names=["doc_id", "tag", "key", "content", "start", "size", "grams"])
-
-    several = stored(narrow.select("text").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "shared-keys")
-    found = narrow.select("doc_id", "tag", "text").mapInArrow(
-        places, f"doc_id {kind}, tag long, key long, content long, start long, size int, grams int")
-    found = stored(found.join(several, "key", "left_semi"), "shared-segments")
+            for width in lengths:
+                for first, data, offsets, before in pieces(batch.column("text"), width):
+                    key, content, row, start, size, grams = segments(data, offsets, width)
+                    row = pa.array(row + first)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(row), batch.column("tag").take(row), pa.array(K.signed(key ^ U64(width))), pa.array(K.signed(content)),
+                         pa.array(start + before), pa.array(size.astype(np.int32)), pa.array(grams.astype(np.int32)), pa.array(np.full(len(key), width, np.int32))],
+                        names=["doc_id", "tag", "key", "content", "start", "size", "grams", "length"])
+
+    every = stored(narrow.select("doc_id", "tag", "text").mapInArrow(
+        places, f"doc_id {kind}, tag long, key long, content long, start long, size int, grams int, length int"), "segments")
+    several = stored(every.groupBy("key").agg(F.sum("grams").alias("n")).where("n > 1").select("key"), "shared-keys")
+    found = stored(every.join(several, "key", "left_semi"), "shared-segments")
     contents = stored(found.groupBy("key", "content").agg(
-        F.count("*").alias("copies"), F.max("grams").alias("grams"), F.min(F.struct("doc_id", "tag", "start", "size")).alias("one")), "segment-contents")
-    mixed = contents.groupBy("key").agg(F.count("*").alias("n"), F.max("grams").alias("grams"), F.sum("one.size").alias("bytes")).where("n > 1 or grams > 1")
+        F.count("*").alias("copies"), F.max("grams").alias("grams"), F.max("length").alias("length"),
+        F.min(F.struct("doc_id", "tag", "start", "size")).alias("one")), "segment-contents")
+    same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.tag") == F.col(f"{y}.tag"))
+    mixed = contents.groupBy("key").agg(F.count("*").alias("n"), F.max("grams").alias("grams"), F.max("length").alias("length"),
+                                        F.sum("one.size").alias("bytes")).where("n > 1 or grams > 1")
+    if len(lengths) > 1:
+        short = F.col("length") == passage
+        known = found.where(short).join(contents.where(short & (F.col("copies") > 1)), ["key", "content"], "left_semi").select("doc_id", "tag").distinct()
+        alone = contents.where(short & (F.col("copies") == 1)).select("key", "one.doc_id", "one.tag")
+        asked = alone.alias("a").join(known.alias("k"), same("a", "k"), "left_anti").select("key").distinct()
+        mixed = mixed.where(~short).unionAll(mixed.where(short).join(asked, "key", "left_semi"))
     mixed = stored(mixed.withColumn("large", F.col("bytes") > shard_bytes), "mixed-keys")
     total, large = mixed.agg(F.sum(F.when(~F.col("large"), F.col("bytes"))), F.max("large")).first()
     shards = max(1, math.ceil((total or 0) / shard_bytes))
     wanted = contents.join(mixed.select("key", "large"), "key").select(
-        F.col("one.doc_id").alias("doc_id"), F.col("one.tag").alias("tag"), F.struct("one.start", "one.size", "key", "content", "large").alias("part"))
+        F.col("one.doc_id").alias("doc_id"), F.col("one.tag").alias("tag"), F.struct("one.start", "one.size", "key", "content", "length", "large").alias("part"))
     wanted = wanted.groupBy("doc_id", "tag").agg(F.collect_list("part").alias("parts"))  # no more than a text's own segments
-    same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.tag") == F.col(f"{y}.tag"))
     holders = base.alias("d").join(wanted.alias("w"), same("d", "w")).select("d.text", "w.parts")
 
     def fetch(batches):
@@ -372,9 +378,10 @@ def remove_recurring(docs: DataFrame, *, length: int = 400, shard_bytes: int = S
             out = []
             for text, parts in zip(batch.column("text"), batch.column("parts")):
                 raw = memoryview(text.as_buffer())
-                out += [(p["key"], p["content"], bytes(raw[p["start"]:p["start"] + p["size"]])) for p in parts.as_py() if not p["large"]]
-            columns = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["key", "content", "bytes"])
+                out += [(p["key"], p["content"], p["length"], bytes(raw[p["start"]:p["start"] + p["size"]])) for p in parts.as_py() if not p["large"]]
+            columns = list(zip(*out)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                                             names=["key", "content", "length", "bytes"])
 
     def hashed(batches):
         """Two hashes of each window of the contents of large keys."""
@@ -383,17 +390,17 @@ def remove_recurring(docs: DataFrame, *, length: int = 400, shard_bytes: int = S
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
                 for p in parts.as_py():
                     if p["large"]:
-                        one, two = window_hashes(raw[p["start"]:p["start"] + p["size"]], length)
+                        one, two = window_hashes(raw[p["start"]:p["start"] + p["size"]], p["length"])
                         yield pa.RecordBatch.from_pydict({"key": np.full(len(one), p["key"]), "content": np.full(len(one), p["content"]),
-                                                          "low": np.arange(len(one)), "h1": K.signed(one), "h2": K.signed(two)})
+                                                          "length": np.full(len(one), p["length"], np.int32), "low": np.arange(len(one)), "h1": K.signed(one), "h2": K.signed(two)})
 
     def merged(batches):
         for batch in batches:
             out = []
-            for key, content, lows in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "lows"))):
+            for key, content, width, lows in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "length", "lows"))):
                 lows = np.array(lows, np.int64)
-                for run in np.split(lows, np.flatnonzero(np.diff(lows) > length) + 1):
-                    out.append((key, content, int(run[0]), int(run[-1]) + length))
+                for run in np.split(lows, np.flatnonzero(np.diff(lows) > width) + 1):
+                    out.append((key, content, int(run[0]), int(run[-1]) + width))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["key", "content", "low", "high"])
 
     def search(table: pa.Table) -> pa.Table:
@@ -403,23 +410,24 @@ def remove_recurring(docs: DataFrame, *, length: int = 400, shard_bytes: int = S
         first[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
         order = order[first]
         parts = table.column("bytes").take(pa.array(order)).to_pylist()
-        spans = list(recurring_spans(parts, np.arange(len(parts)), length))
+        spans = list(recurring_spans(parts, np.arange(len(parts)), table.column("length")[0].as_py()))
         which = np.array([x[0] for x in spans], np.int64)
         return pa.table({"key": key[first][which], "content": content[first][which], "low": np.array([x[1] for x in spans], np.int64),
                          "high": np.array([x[2] for x in spans], np.int64)})
 
-    sent = holders.mapInArrow(fetch, "key long, content long, bytes binary").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    marked = sent.groupBy("shard").applyInArrow(search, "key long, content long, low long, high long")
+    sent = holders.mapInArrow(fetch, "key long, content long, length int, bytes binary").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    marked = sent.groupBy("length", "shard").applyInArrow(search, "key long, content long, low long, high long")
     if large:
-        windows = stored(holders.where(F.exists("parts", lambda p: p["large"])).mapInArrow(hashed, "key long, content long, low long, h1 long, h2 long"), "key-windows")
+        windows = stored(holders.where(F.exists("parts", lambda p: p["large"])).mapInArrow(hashed, "key long, content long, length int, low long, h1 long, h2 long"), "key-windows")
         place = F.struct("content", "low")  # repeated rows sent the same place twice
         again = windows.groupBy("key", "h1", "h2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x < y").select("key", "h1", "h2")
-        lows = windows.join(again, ["key", "h1", "h2"], "left_semi").groupBy("key", "content").agg(F.sort_array(F.collect_set("low")).alias("lows"))
+        lows = windows.join(again, ["key", "h1", "h2"], "left_semi").groupBy("key", "content", "length").agg(F.sort_array(F.collect_set("low")).alias("lows"))
         marked = marked.unionAll(lows.mapInArrow(merged, "key long, content long, low long, high long"))
     whole = contents.where("copies > 1").select("key", "content", F.lit(0).cast("long").alias("low"), F.col("one.size").cast("long").alias("high"))
     marks = stored(whole.unionAll(marked), "segment-spans")
-    spans = found.select("doc_id", "tag", "key", "content", "start").join(marks, ["key", "content"]).groupBy("doc_id", "tag").agg(
-        F.collect_set(F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))).alias("spans"))
+    span = F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
+    spans = found.select("doc_id", "tag", "key", "content", "start", "length").join(marks, ["key", "content"]).groupBy("doc_id", "tag").agg(
+        F.collect_set(F.when(F.col("length") == length, span)).alias("spans"), F.max(F.col("length") == lengths[-1]).alias("repeats"))
 
     def cut(batches):
         for batch in batches:
@@ -435,8 +443,9 @@ def remove_recurring(docs: DataFrame, *, length: int = 400, shard_bytes: int = S
                 kept.append(raw[at:])
                 out.append((len(raw), removed, runs, b"".join(kept)))
             columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]],
-                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                                              batch.column("repeats")], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "repeats"])
 
-    joined = base.alias("d").join(spans.alias("s"), same("d", "s"), "left").select("d.doc_id", "d.text", "s.spans")
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = base.alias("d").join(spans.alias("s"), same("d", "s"), "left").select("d.doc_id", "d.text", "s.spans", F.coalesce("s.repeats", F.lit(False)).alias("repeats"))
+    out = joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, repeats boolean")
+    return out.drop("repeats") if passage is None else out

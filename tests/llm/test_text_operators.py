@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rowharvest.llm import chunked_bpe, decontaminate, kernel, language, lines, personal_data, suffixes, trie_lm, weighted_minhash
+from rowharvest.llm import chunked_bpe, decontaminate, kernel, language, lines, personal_data, queries, suffixes, trie_lm, weighted_minhash
 from rowharvest.llm.queries import tokenizer
 from tests.llm.helpers import components, frame, prose, shingle_counts, weighted_jaccard, word_list
 
@@ -534,6 +534,29 @@ def test_a_line_in_all_texts_is_not_one_group(spark, monkeypatch):
     assert sum(r["n_removed"] > 0 for r in got) >= 20 and sizes.value == 0
 
 
+@pytest.mark.parametrize("length,passage,shard", [(120, 60, 1 << 20), (120, 60, 1_000), (60, 120, 1 << 20), (80, 80, 1 << 20)])
+def test_texts_that_share_a_shorter_passage_are_told(spark, length, passage, shard):
+    rng = random.Random(passage)
+    line = prose(rng, 7, 10**5)[:40]
+    texts = [f"{prose(rng, rng.randrange(5, 40), 10**5)} {line} {prose(rng, 10, 10**5)}" for _ in range(60)]
+    texts += [f"{prose(rng, 4, 10**5)} {texts[k][5:5 + n]} {prose(rng, 4, 10**5)}" for k, n in enumerate((55, 59, 60, 61, 75, 80, 100, 119, 120, 150))]
+    texts += texts[20:22] + [line, line * 4, "z" * 65, "z" * 130, None, ""]
+    got = suffixes.remove_recurring(frame(spark, texts), length=length, passage=passage, shard_bytes=shard).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got] == brute_removed(texts, length)
+    assert [r["repeats"] for r in got] == [n > 0 for _, n, _, _ in brute_removed(texts, passage)]
+
+
+def test_op2_tells_a_passage_of_over_fifty_words_and_removes_only_400_bytes(spark, tmp_path):
+    rng = random.Random(54)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    shared = words(54)
+    texts = [f"{words(60)} {shared} {words(2)}", f"{words(90)} {shared} {words(97)}", words(200), words(54)]
+    assert 250 < len(shared) < 400
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_suffixes(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r["n_removed"], r["repeats"]) for r in got] == [(0, True), (0, True), (0, False), (0, False)]
+
+
 def test_repeated_rows_recur_and_null_ids_stay(spark):
     text = prose(random.Random(1), 300)
     docs = frame(spark, [text, text, "short", None], ids=[None, None, 3, 4])
