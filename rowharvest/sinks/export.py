@@ -175,7 +175,7 @@ def write_csv(df: DataFrame, fields: list[Field], path: str, metadata: bool = Fa
     lines = ordered.select(csv_line(df, fields, metadata).alias("value"))
     if single_file:
         opening = BOM + header + CRLF
-        write_ordered_file(lines, path, "part-00000.csv", opening, CRLF, CRLF, opening)
+        write_ordered_file(lines, path, "part-00000.txt", opening, CRLF, CRLF, opening)
         return
     if df.isEmpty():
         lines = df.sparkSession.range(1).coalesce(1).select(F.lit(header).alias("value"))
@@ -211,4 +211,4 @@ def write_jsonl(df: DataFrame, fields: list[Field], path: str, metadata: bool =
 def write_json(df: DataFrame, fields: list[Field], path: str, order: str, metadata: bool = False) -> None:
     """One JSON array in ``order``, a line for each record, in one file that many tasks write."""
     rows = df.orderBy(order).select(json_object(df, fields, metadata).alias("value"))
-    write_ordered_file(rows, path, "part-00000.json", "[", "\n,", "]\n", "[]\n")
+    write_ordered_file(rows, path, "part-00000.txt", "[", "\n,", "]\n", "[]\n")
