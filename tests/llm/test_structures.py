@@ -135,6 +135,9 @@ def test_query_answers_every_row(spark, name):
     rows = spark.read.parquet(f"{SF}/{table}.parquet")
     if name == "op9_decontaminate":
         assert 0 < got.count() < rows.count()
+    elif name == "op13_divergence":  # a row for each pair of sources of a language, not for each document
+        groups = rows.na.fill("", ["lang", "source"]).select("lang", "source").distinct().groupBy("lang").count().collect()
+        assert got.where("part = 'pair'").count() == sum(r["count"] * (r["count"] - 1) for r in groups) > 0
     else:
         assert got.count() == (rows.select("conv_id").distinct().count() + 1 if table == "conversations" else rows.count())
 
