@@ -10,9 +10,13 @@ from rowharvest.sinks import store
 from rowharvest.streaming import capture as C
 
 
+def table_stream(spark, sf_dir, name, schema):
+    """A table as a stream, be it one file or a folder of files: streams take a single file by a pattern only."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
+
+
 def event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return table_stream(spark, sf_dir, "events", table(spark, sf_dir, "events").schema)
 
 
 def _written(spark, stream, name, mode="append"):
@@ -59,7 +63,7 @@ _STREAMED = f"""SELECT DISTINCT page_id, {LABEL} AS label, {ORIGIN} || {ENCODE.f
 @query(f"SELECT md5(CAST(page_id AS VARCHAR)) AS page, label, target FROM ({_STREAMED})")
 def streamed_records(spark, sf_dir):
     """Page states -> records -> new records -> store."""
-    pages = spark.readStream.schema(schemas.PAGE).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    pages = table_stream(spark, sf_dir, "pages", schemas.PAGE)
     states = pages.withColumn("snapshot_ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")))
     log = scratch_path(spark, "log")
     C.run_available(C.stream_records(states, [MENU], MENU_FIELDS, log, scratch_path(spark, "checkpoint")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowharvest import schemas
 from rowharvest.fields import Field, Locator
 from rowharvest.operators.locate import Collection, locate_items, locator_from_css
+from rowharvest.queries import QUERIES, load
 from rowharvest.sinks.store import data_path, read_records
 from rowharvest.sources.nodes import page_nodes
 from rowharvest.sources.pages import latest_snapshot, read_snapshots
@@ -17,6 +18,7 @@ from tests.pages import BASE, ID, pages_frame
 ROWS = Collection("rows", "#list", ":scope > article.line")
 FIELDS = [Field("name", "Name", "text", (Locator.by_class("span", "label"),), required=True)]
 T0 = dt.datetime(2025, 1, 1)
+load()
 
 
 def state(names, start):
@@ -194,3 +196,19 @@ def test_thousands_of_collections_are_one_plan(spark):
     assert time.time() - start < 30
     assert sorted(tuple(r) for r in items.select("cid", "ord").collect()) == [("c4999", 1), ("c4999", 2), ("c7", 1), ("c7", 2)]
     assert fields.count() == 5000 and fields.where("cid = 'c7'").first()["id"] == "t"
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"{BASE}/{i}", f'<nav><ul><li><a href="/a/{i}">Entry {i}</a></li></ul></nav>') for i in range(6)], schemas.PAGE)
+    events = spark.createDataFrame([(i, i % 3, "click") for i in range(6)], "event_id long, user_id long, event_type string")
+    for folder, files in (("one", 1), ("many", 3)):
+        for name, rows in (("pages", pages), ("events", events)):
+            rows.repartition(files).write.parquet(f"{tmp_path}/{folder}/{name}.parquet")
+    for name in ("pages", "events"):  # a table that is a single file, beside others
+        part = next((tmp_path / "one" / f"{name}.parquet").glob("part-*.parquet"))
+        (tmp_path / "file").mkdir(exist_ok=True)
+        (tmp_path / "file" / f"{name}.parquet").write_bytes(part.read_bytes())
+    for folder in ("file", "one", "many"):
+        records, keys = (QUERIES[q](spark, f"{tmp_path}/{folder}") for q in ("streamed_records", "streamed_keys"))
+        assert sorted(r["label"] for r in records.collect()) == [f"Entry {i}" for i in range(6)]
+        assert sorted(r["user_id"] for r in keys.collect()) == [0, 1, 2]
