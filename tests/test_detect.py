@@ -1,9 +1,12 @@
+from types import SimpleNamespace
+
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from rowharvest.fields import Field, Locator
 from rowharvest.operators import detect, extract, infer, structure
-from rowharvest.session import materialize
+from rowharvest.session import materialize, trim_driver
 from rowharvest.sources.nodes import page_nodes, text_of
 from tests.pages import BASE, ID, pages_frame
 
@@ -243,3 +246,32 @@ def test_markup_leaves_hidden_parts_out_at_any_depth(spark):
     assert whole == 'a<p title="q&quot;">b' + 'e<br>f</p>h<section>k</section>'
     assert sorted(got.values())[0:1] == [" tail"] or "<p>in <b>hidden</b></p> tail" in got.values()
     assert "in <b>hidden</b>" in got.values()  # a chosen element inside a hidden one is read by itself
+
+
+def test_plans_of_detection_stay_small(spark, monkeypatch):
+    sizes, write = [], DataFrameWriter.parquet
+
+    def noted(writer, path, *args, **options):
+        sizes.append(writer._df._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        return write(writer, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    card = '<article class="card"><h2 class="label">Item {0}</h2><p>Some words</p><a href="/x/{0}">More {0}</a></article>'
+    page = f"<main><section>{''.join(card.format(i) for i in range(6))}</section><table><thead><tr><th>A<th>B</thead><tbody>{'<tr><td>1<td>2' * 4}</table></main>"
+    small = materialize(page_nodes(spark.createDataFrame([(1, BASE, page)], "page_id long, url string, html string")), "nodes")
+    _, fields, items = detect.detect_collections(small)
+    assert materialize(extract.extract_records(small, items, fields), "records").count() == 14  # cards, body rows, and the rows as children of their body
+    assert max(sizes) < 200  # 822 nodes in one plan filled the driver's heap with versions of it
+
+
+def test_the_driver_is_trimmed_when_its_heap_has_grown():
+    calls = []
+
+    def driver(total):
+        runtime = SimpleNamespace(totalMemory=lambda: total, maxMemory=lambda: 100)
+        lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: runtime))
+        return SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang), System=SimpleNamespace(gc=lambda: calls.append(total))))
+
+    for total in (20, 50, 51, 100):
+        trim_driver(driver(total))
+    assert calls == [51, 100]
